@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import language_id, quality_model, quality_rules, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_quality_classifier": quality_model.op2_quality_classifier,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_url_filters": url_filters.op6_url_filters,
+    "op8_language_id": language_id.op8_language_id,
+}
+ORACLES = {
+    "op4_quality_rules": quality_rules.SQL,
 }
-ORACLES: dict[str, str] = {}
