@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, quality_model, quality_rules, token_counts, toxicity, url_filters
+from . import jaccard_join, language_id, quality_model, quality_rules, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_url_filters": url_filters.op6_url_filters,
     "op8_language_id": language_id.op8_language_id,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
