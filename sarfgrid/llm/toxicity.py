@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled rows (so many of either class, in hash order) is indexed:
-terms are lower-cased words and their first four letters; the terms most associated
-with the label (chi-square over the sample) span the vectors. Postings are grouped in
+terms are lower-cased words and their first four letters; the terms associated
+with the label beyond chance (chi-square over the sample) span the vectors. Postings are grouped in
 blocks of examples, and each (term, block) keeps its largest weight, so a query's
 score in a block has an upper bound. Blocks are scored from the highest bound on until
 no bound reaches the k-th best cosine: the neighbours are exact. Votes are weighted by
@@ -28,8 +28,8 @@ from .common import arrow_map, crc_mod, crc_mod_py, table, written
 
 #: Labelled rows of either class that are indexed, at most.
 SAMPLE_ROWS = 3000
-#: Terms that span the vectors, at most.
-TERMS = 3000
+#: Terms that span the vectors: those of at least this chi-square, at most so many.
+LEAST_CHI, TERMS = 30.0, 3000
 NEIGHBOURS = 15
 BLOCK = 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -165,7 +165,7 @@ def build_index(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     df = bags.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("a"))
     a, b = F.col("a"), F.col("df") - F.col("a")
     e = total * (a * (neg - b) - b * (pos - a)) ** 2 / (F.lit(float(max(pos, 1) * max(neg, 1))) * F.col("df") * F.greatest(total - F.col("df"), F.lit(1)))
-    top = df.where("df >= 2").withColumn("chi", e).orderBy(F.desc("chi"), "term").limit(n_terms).collect()  # n_terms rows
+    top = df.where("df >= 2").withColumn("chi", e).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(n_terms).collect()  # n_terms rows
     terms, idf = [r["term"] for r in top], [float(np.log(1 + total / r["df"])) for r in top]
     number = {t: k for k, t in enumerate(terms)}
     sent = docs.sparkSession.sparkContext.broadcast(number)
