@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, url_filters
+from . import decontamination, jaccard_join, language_id, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_language_id": language_id.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
