@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, quality_model, quality_rules, suffix_dedup, token_counts, toxicity, url_filters
+from . import decontamination, jaccard_join, language_id, quality_model, quality_rules, sentencepiece_lattice, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_language_id": language_id.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_sentencepiece": sentencepiece_lattice.op10_sentencepiece,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
