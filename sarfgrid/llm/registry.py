@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontamination, jaccard_join, language_id, quality_model, quality_rules, sentencepiece_lattice, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
@@ -15,7 +17,10 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_sentencepiece": sentencepiece_lattice.op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

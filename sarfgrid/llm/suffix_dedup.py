@@ -343,7 +343,7 @@ def find_spans(rows: pa.Table) -> pa.Table:
 
 def cut(key, left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
     """Chunk with its spans -> every document with what is left of it."""
-    out = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+    out = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_sha256")}
     if left_rows.num_rows:
         ids, starts, ends, raw = opened(left_rows.column("payload")[0].as_py())
         edge = np.zeros(len(raw) + 1, np.int32)
@@ -361,12 +361,13 @@ def cut(key, left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
             out["n_spans"].append(int((np.diff(g.astype(np.int8), prepend=0) == 1).sum()))
             out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
             out["kept"].append(left.decode(errors="ignore"))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            out["text_sha256"].append(hashlib.sha256(raw[s:e].tobytes()).hexdigest())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
     return pa.table({n: pa.array(out[n], k) for n, k in zip(out, kinds, strict=True)})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (characters cut in half fall away) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (characters cut in half fall away) and text_sha256 (of the whole text) of every row."""
     packed = written(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), chunk_bytes), "dedup-chunks")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(8, -(-total // bucket_bytes))
@@ -374,8 +375,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answers = prints.groupBy("bucket").applyInArrow(shared_prints, "chunk long, blob binary")
     entries = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_surroundings(n), "bucket long, chunk long, kind int, blob binary")
     spans = entries.groupBy("bucket").applyInArrow(find_spans, "chunk long, blob binary")
-    return packed.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return packed.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, text_sha256 string")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "text_sha256")
