@@ -1,14 +1,345 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each beside its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import arabic as ar
+from ..functions import roots, syllable
+from ..functions import text as tx
+from ..operators import context, evaluation, lookup, segmentation, tokens, verdicts
+from . import sql
 
-def _segments(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "word_gate_verdict"
 
 
-FLAGSHIP = "segments"
-QUERIES = {"segments": _segments}
-ORACLES = {"segments": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1"}
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fixture(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def column_query(name, source, key, col, spark_fn, sql_expr, out="out"):
+    """A query that maps one column; registered with its SQL."""
+
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, source).select(key, spark_fn(F.col(col)).alias(out))
+
+    run.__name__ = name
+    query(f"SELECT {key}, {sql_expr} AS {out} FROM {source}")(run)
+
+
+def vocabulary_query(name, spark_fn, sql_expr, out="out"):
+    def run(spark, sf_dir):
+        return tokens.arabic_vocabulary(table(spark, sf_dir, "documents")).select("surface", "n", spark_fn(F.col("surface")).alias(out))
+
+    run.__name__ = name
+    query(f"SELECT surface, n, {sql_expr} AS {out} FROM {sql.VOCABULARY}")(run)
+
+
+# cleaning and tokenising
+column_query("to_lowercase", "documents", "doc_id", "text", tx.to_lowercase, "lower(text)")
+column_query("remove_punctuation", "documents", "doc_id", "text", tx.remove_punctuation, sql.no_punct("text"))
+column_query("remove_extra_whitespace", "documents", "doc_id", "text", tx.remove_extra_whitespace, sql.squeeze("text"))
+column_query("remove_numbers", "documents", "doc_id", "text", tx.remove_numbers, sql.rx("text", "[0-9]+"))
+column_query("remove_urls", "pages", "page_id", "url", tx.remove_urls, sql.rx("url", r"https?://\S+|www\.\S+"))
+column_query("remove_html_tags", "pages", "page_id", "html", tx.remove_html_tags, sql.rx("html", "<[^>]+>"))
+column_query("clean_text", "documents", "doc_id", "text", tx.clean, sql.squeeze(sql.no_punct(f"lower({sql.rx(sql.rx('text', '<[^>]+>'), r'https?://\S+|www\.\S+')})")))
+column_query("clean_html", "pages", "page_id", "html", lambda c: tx.clean(c, remove_nums=True), sql.squeeze(sql.rx(sql.no_punct(f"lower({sql.rx(sql.rx('html', '<[^>]+>'), r'https?://\S+|www\.\S+')})"), "[0-9]+")))
+column_query("word_count", "documents", "doc_id", "text", lambda c: F.size(tx.word_tokenize(c)).cast("long"), f"len({sql.words('text')})::BIGINT")
+
+_SENTENCES = f"""list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(1), 'g'), '^$', '', 'g'), chr(1)), lambda s: s <> '')"""
+
+
+@query(f"SELECT doc_id, len({_SENTENCES})::BIGINT AS n, max(length(s.x))::BIGINT AS longest FROM documents, LATERAL (SELECT unnest({_SENTENCES}) AS x) AS s GROUP BY doc_id, text")
+def sentence_stats(spark, sf_dir):
+    s = tx.sentence_tokenize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", lambda x: F.length(x))).cast("long").alias("longest"))
+
+
+@query(f"SELECT surface, count(*) AS n FROM {sql.TOKENS} GROUP BY 1 ORDER BY n DESC, surface LIMIT 100")
+def token_freq_top100(spark, sf_dir):
+    return tokens.words(table(spark, sf_dir, "documents")).groupBy("surface").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "surface").limit(100)
+
+
+@query(f"SELECT lang, count(DISTINCT w) AS vocabulary, count(*) AS tokens FROM (SELECT lang, unnest({sql.words('lower(text)')}) AS w FROM documents) AS t GROUP BY lang")
+def vocab_by_lang(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("lang", F.explode(tx.word_tokenize(F.lower("text"))).alias("w"))
+    return w.groupBy("lang", "w").agg(F.count("*").alias("n")).groupBy("lang").agg(F.count("*").alias("vocabulary"), F.sum("n").alias("tokens"))
+
+
+@query(
+    f"""SELECT doc_id, line, generate_subscripts(ws, 1) AS pos, unnest(ws) AS surface FROM (SELECT doc_id, line, {sql.words('r')} AS ws FROM
+    (SELECT doc_id, generate_subscripts(rs, 1) AS line, unnest(rs) AS r FROM (SELECT doc_id, string_split(text, chr(10)) AS rs FROM documents) AS a) AS b) AS c"""
+)
+def tokenize_with_lines(spark, sf_dir):
+    return tokens.lines(table(spark, sf_dir, "documents"))
+
+
+_P = ".,!?;:"
+_PEEL = f"regexp_extract(surface, '^([{_P}]*)', 1)"
+_REST = f"substr(surface, length({_PEEL}) + 1)"
+
+
+@query(f"""SELECT l, r, count(*) AS n, min(length(c))::BIGINT AS shortest FROM (SELECT {_PEEL} AS l, regexp_extract({_REST}, '([{_P}]*)$', 1) AS r, left({_REST}, length({_REST}) - length(regexp_extract({_REST}, '([{_P}]*)$', 1))) AS c FROM {sql.TOKENS}) AS t GROUP BY 1, 2""")
+def strip_punct_hist(spark, sf_dir):
+    t = tokens.words(table(spark, sf_dir, "documents")).groupBy("surface").agg(F.count("*").alias("n")).select("n", tx.strip_punct(F.col("surface"), _P).alias("x"))
+    return t.groupBy(F.col("x.left").alias("l"), F.col("x.right").alias("r")).agg(F.sum("n").alias("n"), F.min(F.length("x.core")).cast("long").alias("shortest"))
+
+
+# script
+vocabulary_query("strip_diacritics", ar.strip_diacritics, sql.strip("surface"))
+vocabulary_query("normalize_hamza", ar.normalize_hamza, sql.hamza("surface"))
+vocabulary_query("normalize_al", ar.normalize_al, sql.al("surface"))
+vocabulary_query("normalize_shadda", ar.normalize_shadda, sql.shadda("surface"))
+vocabulary_query("normalize", ar.normalize, sql.shadda(sql.al(sql.hamza("surface"))))
+vocabulary_query("nfc", ar.nfc, "nfc_normalize(surface)")
+vocabulary_query("canonical_normalize", ar.canonical_normalize, f"replace(nfc_normalize(surface), 'آ', {sql.q('ء' + ar.FATHA)})")
+vocabulary_query("count_letters", lambda c: ar.count_letters(c).cast("long"), f"length({sql.rx('surface', '[^' + ar.LETTER[1:])})::BIGINT")
+vocabulary_query("starts_with_article", ar.starts_with_article, f"starts_with({sql.strip('surface')}, 'ال') AND length({sql.strip('surface')}) > 2")
+vocabulary_query("phones", lambda c: F.array_join(ar.phones(c), " "), f"array_to_string({sql.phones('surface')}, ' ')")
+vocabulary_query("syllable_classes", syllable.classes, sql.classes("surface"))
+vocabulary_query("syllable_slots", lambda c: syllable.slots(syllable.classes(c)), sql.slots(sql.classes("surface")))
+
+_STATE = f"CASE WHEN regexp_matches(p, '[{ar.TANWIN}]') THEN 'TANWIN' WHEN regexp_matches(p, '[{ar.SHORT}]') THEN 'EXPLICIT_VOWEL' WHEN contains(p, '{ar.SUKUN}') THEN 'SUKUN' WHEN length(p) > 1 THEN 'OTHER' ELSE 'ABSENT' END"
+
+
+@query(f"SELECT letter, state, sum(n)::BIGINT AS n FROM (SELECT left(p, 1) AS letter, {_STATE} AS state, n FROM (SELECT unnest({sql.phones('surface')}) AS p, n FROM {sql.VOCABULARY}) AS a) AS b GROUP BY 1, 2")
+def mark_state_hist(spark, sf_dir):
+    p = tokens.arabic_vocabulary(table(spark, sf_dir, "documents")).select(F.explode(ar.phones(F.col("surface"))).alias("p"), "n")
+    return p.groupBy(F.left("p", F.lit(1)).alias("letter"), ar.mark_state(F.col("p")).alias("state")).agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT verdict, count(*) AS words, sum(n)::BIGINT AS tokens FROM (SELECT {sql.gate('s')} AS verdict, n FROM (SELECT {sql.slots(sql.classes('surface'))} AS s, n FROM {sql.VOCABULARY}) AS a) AS b GROUP BY 1")
+def word_gate_verdict(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents")).select("n", syllable.slots(syllable.classes(F.col("surface"))).alias("s"))
+    return v.groupBy(syllable.word_gate(F.col("s")).alias("verdict")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+
+
+@query(
+    """WITH RECURSIVE w AS (SELECT '' AS word, '' AS state, 0 AS len UNION ALL
+    SELECT word || e, to_state, len + 1 FROM w JOIN (VALUES ('', 'C', 'C'), ('C', 'V', 'CV'), ('CV', 'V', 'CVV'), ('CV', 'C', 'CVC'), ('CVV', 'C', 'CVVC'), ('CVC', 'C', 'CVCC'), ('CVVC', 'C', 'CVVCC'),
+    ('CVC', 'V', 'CV'), ('CVVC', 'V', 'CV'), ('CVCC', 'V', 'CV'), ('CVVCC', 'V', 'CV')) AS t(from_state, e, to_state) ON state = from_state WHERE len < 8)
+    SELECT len::BIGINT AS len, count(DISTINCT word) AS words FROM w WHERE len > 0 AND state <> 'C' GROUP BY len"""
+)
+def legal_words_by_len(spark, sf_dir):
+    """Words of C and V up to eight letters that the slot grammar accepts; a consonant behind a whole slot may open the next."""
+    steps = [(a, e, b) for (a, e), b in syllable.STEPS.items()] + [(s, "V", "CV") for s in ("CVC", "CVVC", "CVCC", "CVVCC")]
+    t = F.broadcast(fixture(spark, steps, "f string, e string, to string"))
+    level = fixture(spark, [("", "")], "word string, state string")
+    out = None
+    for k in range(1, 9):
+        level = level.join(t, level["state"] == t["f"]).select(F.concat("word", "e").alias("word"), F.col("to").alias("state")).distinct()
+        mine = level.where("state <> 'C'").agg(F.count_distinct("word").alias("words")).select(F.lit(k).cast("long").alias("len"), "words")
+        out = mine if out is None else out.unionByName(mine)
+    return out.where("words > 0")
+
+
+# clitics and look-ups
+_ENC = segmentation.ENCLITICS
+_BARE = sql.strip("surface")
+
+
+def _enclitic_sql():
+    inflected = f"regexp_matches({_BARE}, {sql.q('(' + '|'.join(segmentation.INFLECTIONS) + ')$')})"
+    arms = []
+    for e in sorted(_ENC, key=lambda e: (-len(e), e)):
+        tail = f"regexp_extract(surface, {sql.q('(' + ''.join(x + ar.MARK + '*' for x in e) + ')$')}, 1)"
+        stem = f"left({_BARE}, length({_BARE}) - {len(e)})"
+        letters = f"length({sql.rx(stem, '[^' + ar.LETTER[1:])}) >= 2"
+        more = f" AND NOT suffix({_BARE}, 'ونا')" if e == "نا" else ""
+        arms.append(f"WHEN suffix({_BARE}, {sql.q(e)}) AND {letters} AND NOT regexp_matches({tail}, '[{ar.TANWIN}]'){more} THEN {sql.q(e)}")
+    return f"CASE WHEN {inflected} THEN NULL {' '.join(arms)} END"
+
+
+vocabulary_query("enclitic", segmentation.enclitic, _enclitic_sql())
+
+
+def _proclitic_sql():
+    rest_bare, rest = f"substr({_BARE}, 2)", f"regexp_replace(surface, {sql.q('^.' + ar.MARK + '*')}, '')"
+    article = f"(starts_with({sql.strip(rest)}, 'ال') AND length({sql.strip(rest)}) > 2)"
+    arms = []
+    for letter, vowel, kind in segmentation.PROCLITICS:
+        marks = f"regexp_extract(surface, {sql.q('^' + letter + '(' + ar.MARK + '*)')}, 1)"
+        fits = f"starts_with({_BARE}, {sql.q(letter)}) AND ({marks} = '' OR starts_with({marks}, {sql.q(vowel)})) AND ({article} OR length({sql.rx(rest_bare, '[^' + ar.LETTER[1:])}) >= {segmentation.LEAST[kind]})"
+        if kind == "FUTURE_PARTICLE":
+            fits += f" AND regexp_matches({rest_bare}, '^[يتنأ]')"
+        arms.append(f"WHEN {fits} THEN {sql.q(kind + ':' + letter)}")
+    return f"CASE {' '.join(arms)} END"
+
+
+vocabulary_query("proclitic", lambda c: F.concat(segmentation.proclitic(c)["kind"], F.lit(":"), segmentation.proclitic(c)["particle"]), _proclitic_sql())
+
+_SPAN = f"regexp_extract(surface, {sql.q('^(ا' + ar.MARK + '*ل' + ar.MARK + '*)')}, 1)"
+_HAS = f"(starts_with({_BARE}, 'ال') AND length({_BARE}) > 2)"
+_SOLAR = f"regexp_matches(substr(surface, length({_SPAN}) + 1), {sql.q('^[' + ar.SOLAR + ']' + ar.MARK + '*' + ar.SHADDA)})"
+
+
+@query(f"SELECT CASE WHEN NOT {_HAS} THEN 'none' WHEN {_SOLAR} THEN 'solar' ELSE 'lunar' END AS kind, count(*) AS words, sum(n)::BIGINT AS tokens FROM {sql.VOCABULARY} GROUP BY 1")
+def article_kinds(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents"))
+    return v.groupBy(ar.article_span(F.col("surface"))["kind"].alias("kind")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+
+
+# A test catalogue: transliterated words with owners; the same bare key may have several vocalised forms.
+CATALOGUE = [("تهَ", "OPERATOR"), ("اِن", "PARTICLE"), ("وف", "OPERATOR"), ("تهاراِن", "NAME"), ("هِس", "PRONOUN"), ("هَس", "VERB"), ("ات", "NOUN"), ("اتَ", "NOUN")]
+_BAREKEY = sql.strip("vocalised")
+
+
+@query(
+    f"""SELECT tier, owner, count(*) AS words, sum(n)::BIGINT AS tokens FROM (SELECT n, CASE WHEN e.k IS NOT NULL THEN 'EXACT' WHEN forms = 1 THEN 'BARE' WHEN forms > 1 THEN 'COLLISION' ELSE 'NONE' END AS tier,
+    CASE WHEN e.k IS NOT NULL THEN e.o WHEN forms = 1 THEN b.o END AS owner FROM {sql.VOCABULARY} AS v
+    LEFT JOIN (SELECT vocalised AS k, min(owner) AS o FROM {sql.values(CATALOGUE, 'vocalised, owner')} GROUP BY 1) AS e ON e.k = surface
+    LEFT JOIN (SELECT {_BAREKEY} AS k, count(DISTINCT vocalised) AS forms, min(owner) AS o FROM {sql.values(CATALOGUE, 'vocalised, owner')} GROUP BY 1) AS b ON b.k = {_BARE}) AS t GROUP BY 1, 2"""
+)
+def lookup_cascade(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents"))
+    return lookup.cascade(v, fixture(spark, CATALOGUE, "vocalised string, owner string")).groupBy("tier", "owner").agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+
+
+_SUFFIXES = ["tion", "ing", "ed", "er", "s", "mente", "ment", "ción", "keit", "heit"]
+_LONGEST = "CASE " + " ".join(f"WHEN suffix(surface, '{a}') AND length(surface) >= {len(a) + 2} THEN '{a}'" for a in sorted(_SUFFIXES, key=lambda a: (-len(a), a))) + " END"
+
+
+@query(f"SELECT {_LONGEST} AS suffix, count(*) AS n, count(DISTINCT surface) AS words FROM {sql.TOKENS} GROUP BY 1")
+def longest_suffix(spark, sf_dir):
+    w = tokens.words(table(spark, sf_dir, "documents")).groupBy("surface").agg(F.count("*").alias("n"))
+    return w.groupBy(lookup.longest_affix(F.col("surface"), _SUFFIXES, 2, end=True).alias("suffix")).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+
+
+@query("SELECT text, min(doc_id) AS doc_id, count(*) AS n, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
+def dedupe_first_wins(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min_by("source", "doc_id").alias("source"))
+
+
+# roots and verdicts
+_W = lambda xs: "(" + ", ".join(sql.q(x) for x in xs) + ")"
+_FA, _AYN, _LAM = "substr(r, 1, 1)", "substr(r, 2, 1)", "substr(r, 3, 1)"
+_RSRC = f"(SELECT array_to_string(list_filter(string_split({sql.rx('surface', '[^' + ar.LETTER[1:])}, ''), lambda z: z <> ''), '') AS r, n FROM {sql.VOCABULARY})"
+_REASON = f"""CASE WHEN length(r) < 2 THEN 'insufficient_consonants' WHEN length(r) = 2 THEN 'two_consonant_form_unresolved' WHEN length(r) = 4 THEN 'quadriliteral_beyond_scope' WHEN length(r) > 4 THEN 'non_standard_consonant_count'
+ WHEN {_FA} IN {_W('وي')} AND {_LAM} IN {_W('اىي')} AND {_AYN} NOT IN {_W('او')} THEN 'lafif_mafruq_unresolved' WHEN {_AYN} IN {_W('او')} AND {_LAM} IN {_W('اىي')} THEN 'lafif_maqrun_unresolved'
+ WHEN {_AYN} IN {_W('او')} THEN 'hollow_underlying_radical_unresolved' WHEN {_LAM} IN {_W('اىي')} THEN 'defective_lam_unresolved' WHEN {_FA} IN {_W('وي')} THEN 'assimilated_fa_unresolved' WHEN regexp_matches(r, '[اىأإؤئآ?]') THEN 'prohibited_or_ambiguous_radical' END"""
+
+
+@query(
+    f"""SELECT CASE WHEN length(r) < 2 THEN 'BLOCK' WHEN reason IS NOT NULL THEN 'DEFER' ELSE 'ACCEPT' END AS directive, reason,
+    CASE WHEN reason IS NULL THEN CASE WHEN contains(r, 'ء') THEN 'hamza' WHEN {_AYN} = {_LAM} OR {_FA} = {_AYN} THEN 'geminate' ELSE 'sound' END END AS kind, count(*) AS words, sum(n)::BIGINT AS tokens
+    FROM (SELECT r, n, {_REASON} AS reason FROM {_RSRC} AS a) AS b GROUP BY 1, 2, 3"""
+)
+def root_class(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents"))
+    r = roots.analyse_radicals(F.regexp_replace("surface", "[^" + ar.LETTER[1:], ""))
+    return v.select("n", r.alias("x")).groupBy("x.directive", "x.reason", "x.kind").agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+
+
+_UP = ["BLOCK", "BLOCKED", "DEFER", "DEFERRED", "RESIDUAL", "ACCEPT", "LICENSED", "COMPLETE", "odd", "", None]
+_GATE = ["LICENSED", "BLOCKED", "REJECTED", "FORBIDDEN_LEAP", "RESIDUAL", "DEFERRED", "?", None]
+_PAIRS = [(a, b) for a in _UP for b in _GATE]
+
+
+@query(
+    f"""SELECT up, tq, CASE WHEN u IN ('BLOCKED', 'BLOCK') OR t IN ('BLOCKED', 'BLOCK', 'REJECTED', 'FORBIDDEN_LEAP') THEN 'BLOCKED' WHEN u IN ('DEFERRED', 'DEFER') THEN 'DEFERRED' WHEN u = 'RESIDUAL' THEN 'RESIDUAL'
+    WHEN u IN ('ACCEPTED', 'LICENSED', 'ACCEPT', 'COMPLETE') AND t IN ('LICENSED', 'RESIDUAL') THEN t ELSE 'DEFERRED' END AS verdict
+    FROM (SELECT *, coalesce(nullif(upper(trim(up)), ''), 'DEFERRED') AS u, coalesce(nullif(upper(trim(tq)), ''), 'DEFERRED') AS t FROM {sql.values(_PAIRS, 'up, tq')} AS p) AS x"""
+)
+def verdict_compose(spark, sf_dir):
+    return fixture(spark, _PAIRS, "up string, tq string").withColumn("verdict", verdicts.compose(F.col("up"), F.col("tq")))
+
+
+_STATUS = [(b, d, u, r) for b in ("NONE", "WARNING", "BLOCKER") for d in ("NONE", "MINOR", "INVALIDATING") for u in (True, False) for r in (3, 4)]
+
+
+@query(f"SELECT *, CASE WHEN blocker = 'BLOCKER' OR defect = 'INVALIDATING' THEN 'BATIL' WHEN defect = 'MINOR' OR blocker = 'WARNING' THEN 'FASID' WHEN unmet OR rank < 4 THEN 'DEFERRED' ELSE 'SAHIH' END AS status FROM {sql.values(_STATUS, 'blocker, defect, unmet, rank')} AS t")
+def stage_status(spark, sf_dir):
+    t = fixture(spark, _STATUS, "blocker string, defect string, unmet boolean, rank int")
+    return t.withColumn("status", verdicts.stage_status(F.col("blocker"), F.col("defect"), F.col("unmet"), F.col("rank")))
+
+
+@query("SELECT lang, sum((w > 1000)::INT)::BIGINT AS block, sum((w BETWEEN 50 AND 1000)::INT)::BIGINT AS accept, sum((w < 50)::INT)::BIGINT AS defer FROM (SELECT lang, len(" + sql.words("text") + ") AS w FROM documents) AS t GROUP BY 1")
+def layer_state_pivot(spark, sf_dir):
+    w = F.size(tx.word_tokenize(F.col("text")))
+    d = table(spark, sf_dir, "documents").select("lang", F.when(w > 1000, "block").when(w < 50, "defer").otherwise("accept").alias("state"))
+    return d.groupBy("lang").pivot("state", ["block", "accept", "defer"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query(f"SELECT surface, n, substr(sha256({sql.strip('surface')} || '|' || n::VARCHAR), 1, 16) AS claim_key FROM {sql.VOCABULARY}")
+def claim_key(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents"))
+    return v.select("surface", "n", F.substring(F.sha2(F.concat_ws("|", ar.strip_diacritics(F.col("surface")), F.col("n").cast("string")), 256), 1, 16).alias("claim_key"))
+
+
+# context
+_J, _S, _N, _PRE = ["to", "of"], ["for", "that"], ["to"], ["and", "the"]
+
+
+@query(
+    f"""SELECT mood, count(*) AS n FROM (SELECT CASE WHEN s1 IN {_W(_N)} AND coalesce(s2 IN {_W(_PRE)}, false) THEN NULL WHEN s1 IN {_W(_J)} THEN 'JUSSIVE' WHEN s1 IN {_W(_S)} THEN 'SUBJUNCTIVE' END AS mood
+    FROM (SELECT lag(surface, 1) OVER w AS s1, lag(surface, 2) OVER w AS s2 FROM {sql.TOKENS} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) AS a) AS b GROUP BY 1"""
+)
+def mood_context(spark, sf_dir):
+    return context.govern_mood(tokens.words(table(spark, sf_dir, "documents")), _J, _S, _N, _PRE).groupBy("mood").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, role, lag(length(text), 1) OVER w AS prev_len, turn - last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since_user FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def turn_context(spark, sf_dir):
+    return context.carry_speaker(table(spark, sf_dir, "conversations"))
+
+
+# evaluation
+@query("SELECT field, sum((want IS NOT NULL)::INT)::BIGINT AS compared, sum((want IS NOT NULL AND got IS DISTINCT FROM want)::INT)::BIGINT AS mismatches FROM (SELECT 'quality' AS field, CASE WHEN n_chars > 400 THEN 1 ELSE 0 END AS got, quality AS want FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'toxic', CASE WHEN contains(text, 'idiot') THEN 1 ELSE 0 END, toxic FROM documents JOIN labels USING (doc_id)) AS t GROUP BY 1")
+def gold_mismatch_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 400, 1).otherwise(0).alias("quality"), F.when(F.contains("text", F.lit("idiot")), 1).otherwise(0).alias("toxic"))
+    return evaluation.gold_mismatches(d, table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])
+
+
+@query(
+    """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'ADDED' WHEN b.doc_id IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change,
+    CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN a.n_chars IS DISTINCT FROM b.n_chars THEN 'n_chars' END) END AS fields
+    FROM (SELECT * FROM documents WHERE doc_id % 7 <> 0) AS a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 11 <> 0) AS b ON a.doc_id = b.doc_id
+    WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.lang IS DISTINCT FROM b.lang OR a.n_chars IS DISTINCT FROM b.n_chars"""
+)
+def snapshot_diff(spark, sf_dir):
+    """The table against an altered version of itself: the two snapshots are the feature under test, and both are whole tables with known edits."""
+    d = table(spark, sf_dir, "documents")
+    new = d.where("doc_id % 11 <> 0").select("doc_id", F.when(F.expr("doc_id % 5 = 0"), "xx").otherwise(F.col("lang")).alias("lang"), F.when(F.expr("doc_id % 3 = 0"), F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"))
+    return evaluation.snapshot_diff(d.where("doc_id % 7 <> 0"), new, "doc_id", ["lang", "n_chars"])
+
+
+@query("""SELECT 'known_language' AS "check", sum((NOT coalesce(lang IN ('en', 'fr', 'de', 'es'), false))::INT)::BIGINT AS n FROM documents UNION ALL SELECT 'length_stated', sum((NOT coalesce(n_chars = length(text), false))::INT)::BIGINT FROM documents UNION ALL SELECT 'no_markup', sum((NOT coalesce(NOT regexp_matches(text, '<[a-z]+>'), false))::INT)::BIGINT FROM documents""")
+def contract_violations(spark, sf_dir):
+    checks = {"known_language": F.col("lang").isin("en", "fr", "de", "es"), "length_stated": F.col("n_chars") == F.length("text"), "no_markup": ~F.col("text").rlike("<[a-z]+>")}
+    return evaluation.violations(table(spark, sf_dir, "documents"), checks)
+
+
+@query("SELECT lang, sum((lang = 'en' AND text IS NOT NULL AND contains(text, 'the') AND starts_with(source, 'src'))::INT)::BIGINT AS passed, count(*) AS n FROM documents GROUP BY 1")
+def probe_results(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    ok = evaluation.probe({c: F.col(c) for c in d.columns}, [("lang", "eq", "en"), ("text", "not_none", None), ("text", "contains", "the"), ("source", "starts_with", "src")])
+    return d.groupBy("lang").agg(F.sum(ok.cast("long")).alias("passed"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n, round(median(value), 6) AS median_value, round(avg(value), 6) AS mean_value, max(value) AS worst FROM events GROUP BY 1")
+def latency_stats(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median_value"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("worst"))
+
+
+@query("SELECT source, lang, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY source), 9) AS share FROM documents GROUP BY 1, 2")
+def wc_accounting(spark, sf_dir):
+    g = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 9))
