@@ -343,3 +343,113 @@ def latency_stats(spark, sf_dir):
 def wc_accounting(spark, sf_dir):
     g = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 9))
+
+
+# patterns, derivation, inflection
+from ..operators import inflection, patterns, spans  # noqa: E402
+
+
+def _fit_sql():
+    arms = []
+    for pattern, name, _ in patterns.WAZN:
+        want = patterns.template_cells(pattern)
+        at = {r: next(k for k, c in enumerate(want) if c[0] == r) + 1 for r in patterns.RADICALS}
+        tests = [f"len(c) = {len(want)}"]
+        for k, cell in enumerate(want):
+            letter = f"left(c[{at[cell[0]]}], 1)" if cell[0] in patterns.RADICALS else sql.q(cell[0])
+            tests.append(f"left(c[{k + 1}], 1) = {letter}")
+            if k < len(want) - 1 and cell[0] not in "اوي":
+                tests.append(f"substr(c[{k + 1}], 2) = {sql.q(cell[1:])}")
+        arms.append(f"CASE WHEN {' AND '.join(tests)} THEN {sql.q(name)} END")
+    return f"list_filter([{', '.join(arms)}], lambda z: z IS NOT NULL)"
+
+
+@query(
+    f"""SELECT surface, n, len(f)::BIGINT AS n_fits, CASE WHEN len(f) = 1 THEN 'ACCEPT' WHEN len(f) > 1 THEN 'DEFER' ELSE 'BLOCK' END AS verdict, array_to_string(f, ' ') AS wazn_ids
+    FROM (SELECT surface, n, {_fit_sql()} AS f FROM (SELECT surface, n, {sql.phones('surface')} AS c FROM {sql.VOCABULARY}) AS a) AS b"""
+)
+def pattern_match_verdict(spark, sf_dir):
+    return patterns.match(tokens.arabic_vocabulary(table(spark, sf_dir, "documents")))
+
+
+_ROOTS = f"(SELECT DISTINCT r AS root FROM {_RSRC} AS a WHERE length(r) = 3 AND {_REASON} IS NULL)"
+
+
+def _roots(spark, sf_dir):
+    letters = F.regexp_replace("surface", "[^" + ar.LETTER[1:], "")
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents")).select(letters.alias("root")).distinct()
+    return v.where(roots.analyse_radicals(F.col("root"))["directive"] == "ACCEPT")
+
+
+def _fill(p):
+    for k, c in enumerate("\ue001\ue002\ue003"):
+        p = f"replace({p}, {sql.q(c)}, substr(root, {k + 1}, 1))"
+    return p
+
+
+_FILLED = _fill(f"translate(pattern, {sql.q(patterns.RADICALS)}, {sql.q(chr(0xE001) + chr(0xE002) + chr(0xE003))})")
+
+
+@query(f"SELECT root, type, family, pattern, transitivity, {_FILLED} AS form FROM {_ROOTS} AS r CROSS JOIN {sql.values(patterns.DERIVATIVES, 'type, family, pattern, transitivity')} AS t")
+def derive_forms(spark, sf_dir):
+    return patterns.derive(_roots(spark, sf_dir), patterns.DERIVATIVES, ["type", "family", "pattern", "transitivity"])
+
+
+@query(f"SELECT root, bab_id, pattern, {_FILLED} AS form FROM {_ROOTS} AS r CROSS JOIN {sql.values(patterns.MASDAR, 'bab_id, pattern')} AS t")
+def masdar_projection(spark, sf_dir):
+    return patterns.derive(_roots(spark, sf_dir), patterns.MASDAR, ["bab_id", "pattern"])
+
+
+@query(f"SELECT past_vowel, imperfect_vowel, family, count(*) AS classes, min(bab_id) AS first_class, CASE WHEN count(*) = 1 THEN 'ACCEPT' ELSE 'DEFER' END AS verdict FROM {sql.values(patterns.BAB, 'bab_id, family, past, imperfect, past_vowel, imperfect_vowel')} AS t GROUP BY 1, 2, 3")
+def bab_projection(spark, sf_dir):
+    b = fixture(spark, patterns.BAB, "bab_id string, family string, past string, imperfect string, past_vowel string, imperfect_vowel string")
+    g = b.groupBy("past_vowel", "imperfect_vowel", "family").agg(F.count("*").alias("classes"), F.min("bab_id").alias("first_class"))
+    return g.withColumn("verdict", F.when(F.col("classes") == 1, "ACCEPT").otherwise("DEFER"))
+
+
+_CELLS = inflection.cells("a", "u")
+
+
+@query(
+    f"""SELECT root, tense, mood, voice, person, number, gender, pre || substr(root, 1, 1) || first || substr(root, 2, 1) || second || substr(root, 3, 1) || ending AS form
+    FROM {_ROOTS} AS r CROSS JOIN {sql.values(_CELLS, 'tense, mood, voice, person, number, gender, pre, first, second, ending')} AS t"""
+)
+def conjugation(spark, sf_dir):
+    return inflection.conjugate(_roots(spark, sf_dir), "a", "u")
+
+
+@query(f"SELECT voice, person, number, gender, count(*) AS forms, count(*) AS recovered FROM {_ROOTS} AS r CROSS JOIN {sql.values(_CELLS, 'tense, mood, voice, person, number, gender, pre, first, second, ending')} AS t WHERE tense = 'PAST' AND NOT regexp_matches(substr(root, 3, 1), '[تنمو]') GROUP BY 1, 2, 3, 4")
+def past_features_round_trip(spark, sf_dir):
+    """Features read back from generated past forms; roots that end like an ending are ambiguous by their letters."""
+    forms = inflection.conjugate(_roots(spark, sf_dir), "a", "u").where("tense = 'PAST'").where(~F.substring("root", 3, 1).rlike("[تنمو]"))
+    f = forms.withColumn("f", inflection.past_features(F.col("form")))
+    same = F.lit(True)
+    for c in ("voice", "person", "number", "gender"):
+        same = same & (F.col(c) == F.col("f")[c])
+    return f.groupBy("voice", "person", "number", "gender").agg(F.count("*").alias("forms"), F.sum(same.cast("long")).alias("recovered"))
+
+
+@query(
+    f"""SELECT op, count(*) AS cells, sum(length(m) - length(c))::BIGINT AS grown FROM (SELECT c, m, CASE WHEN c = m THEN 'IDENTITY' WHEN length(c) = length(m) THEN 'REPLACE' ELSE 'EXPAND' END AS op
+    FROM (SELECT c, {sql.shadda(sql.hamza('c'))} AS m FROM (SELECT unnest(regexp_extract_all(surface, {sql.q('(?s)' + ar.LETTER + ar.MARK + '*|.')})) AS c FROM {sql.VOCABULARY}) AS a) AS b) AS d GROUP BY 1"""
+)
+def normalization_span_ops(spark, sf_dir):
+    s = spans.normalization_spans(tokens.arabic_vocabulary(table(spark, sf_dir, "documents")))
+    return s.groupBy("op").agg(F.count("*").alias("cells"), F.sum(F.col("norm_end") - F.col("norm_start") - F.col("raw_end") + F.col("raw_start")).alias("grown"))
+
+
+
+
+@query(
+    f"""SELECT kind, count(*) AS words, sum(n)::BIGINT AS tokens FROM (SELECT n, CASE WHEN length(c) < 2 THEN 'UNDERLICENSED_SHORT_SURFACE' WHEN length(c) = 2 THEN CASE WHEN c = 'MS' THEN 'COMPRESSED_VERB_CANDIDATE' ELSE 'UNDERLICENSED_SHORT_SURFACE' END
+    WHEN length(regexp_replace(c, '[AVWF]', '', 'g')) >= 2 THEN 'ROOT_ELIGIBLE' ELSE 'NON_VERBAL_SURFACE' END AS kind FROM (SELECT n, {sql.classes('surface')} AS c FROM {sql.VOCABULARY}) AS a) AS b GROUP BY 1"""
+)
+def boundary_structure(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents")).select("n", syllable.classes(F.col("surface")).alias("c"))
+    kind = (
+        F.when(F.length("c") < 2, "UNDERLICENSED_SHORT_SURFACE")
+        .when(F.length("c") == 2, F.when(F.col("c") == "MS", "COMPRESSED_VERB_CANDIDATE").otherwise("UNDERLICENSED_SHORT_SURFACE"))
+        .when(F.length(F.regexp_replace("c", "[AVWF]", "")) >= 2, "ROOT_ELIGIBLE")
+        .otherwise("NON_VERBAL_SURFACE")
+    )
+    return v.groupBy(kind.alias("kind")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
