@@ -20,3 +20,17 @@ def carry_speaker(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     user_turn = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return turns.select("conv_id", "turn", "role", F.lag(F.length("text"), 1).over(w).cast("long").alias("prev_len"), (F.col("turn") - user_turn).alias("since_user"))
+
+
+def resolve_subject(tokens: DataFrame) -> DataFrame:
+    """Ambiguous verbs resolved by a feminine subject at most three words on, unless a clause begins before it; a joined verb takes over what the verb before it was given.
+
+    Needs doc_id, pos, elig (ambiguous verb), fem (feminine subject), bnd (clause begins), joined (verb with a conjunction), other (a person that rules the subject out).
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    nxt = lambda c, k: F.coalesce(F.lead(c, k).over(w), F.lit(False))
+    ahead = nxt("fem", 1) | (~nxt("bnd", 1) & (nxt("fem", 2) | (~nxt("bnd", 2) & nxt("fem", 3))))
+    t = tokens.withColumn("_a", F.col("elig") & ahead)
+    t = t.withColumn("_ev", F.when(F.col("_a"), True).when(~F.col("elig") & F.col("bnd") & F.col("other"), False))
+    carried = F.last("_ev", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return t.withColumn("resolved", F.col("_a") | (F.col("elig") & F.col("joined") & F.coalesce(carried, F.lit(False)))).drop("_a", "_ev")

@@ -40,3 +40,26 @@ def probe(fields: dict, contracts: list[tuple[str, str, str | None]]):
         return {"eq": c == v, "not_eq": c != v, "is_none": c.isNull(), "not_none": c.isNotNull(), "contains": F.contains(c, F.lit(v)), "starts_with": F.startswith(c, F.lit(v))}[op]
 
     return reduce(lambda a, b: a & b, [F.coalesce(one(*x), F.lit(False)) for x in contracts])
+
+
+def consensus(forms: DataFrame, key: str, fields: list[str], least: int = 2) -> DataFrame:
+    """key, each field where all its forms agree, verdict: ACCEPT with every field agreed by at least ``least`` forms, DEFER otherwise."""
+    agreed = [F.when(F.count_distinct(f) == 1, F.min(f)).alias(f) for f in fields]
+    g = forms.groupBy(key).agg(F.count("*").alias("forms"), *agreed)
+    ok = F.col("forms") >= least
+    for f in fields:
+        ok = ok & F.col(f).isNotNull()
+    return g.withColumn("verdict", F.when(ok, "ACCEPT").otherwise("DEFER"))
+
+
+def table_digest(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """n and an order-free digest of a table: the exclusive or of its rows' hashes, so no task sees all rows."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("?")) for f in fields])
+    h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
+    return rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("digest"))
+
+
+def integrity(rows: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """check, n: repeated keys and missing fields, as n minus distinct and null counts."""
+    sums = rows.agg((F.count(key) - F.count_distinct(key)).alias("repeated_key"), *[F.sum(F.col(c).isNull().cast("long")).alias("missing_" + c) for c in required])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("n")) for c in sums.columns])).alias("x")).select("x.*")

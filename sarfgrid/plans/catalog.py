@@ -453,3 +453,123 @@ def boundary_structure(spark, sf_dir):
         .otherwise("NON_VERBAL_SURFACE")
     )
     return v.groupBy(kind.alias("kind")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+
+
+# letters, tense, slots, traces, metrics
+from ..functions import glyphs  # noqa: E402
+from ..operators import slots as typed  # noqa: E402
+from ..operators import tense as tenses  # noqa: E402
+
+_CELL = f"(SELECT left(p, 1) AS letter, p, n FROM (SELECT unnest({sql.phones('surface')}) AS p, n FROM {sql.VOCABULARY}) AS a)"
+_VW = f"[{ar.SHORT}{ar.TANWIN}]"
+_BASE = f"CASE WHEN letter = 'ء' THEN 'HAMZA' WHEN regexp_matches(letter, '^[{glyphs.HAMZA_CARRIERS}]$') THEN 'HAMZA_CARRIER' WHEN letter IN ('ا', 'و', 'ي') THEN 'LONG_VOWEL_LETTER' WHEN letter = 'ى' THEN 'ALEF_MAQSURA' WHEN letter = 'ة' THEN 'TAA_MARBUTA' ELSE 'CONSONANT' END"
+
+
+@query(
+    f"""SELECT base, kind, licensed, count(*) AS cells, sum(n)::BIGINT AS tokens FROM (SELECT {_BASE} AS base, CASE WHEN letter IN ('ا', 'ى') OR (letter IN ('و', 'ي') AND NOT regexp_matches(p, '{_VW}')) THEN 'V' WHEN regexp_matches(p, '{_VW}') THEN 'CV' ELSE 'C' END AS kind,
+    (length(regexp_replace(p, '[^{_VW[1:]}', '', 'g')) <= 1 AND NOT (length(regexp_replace(p, '[^{_VW[1:]}', '', 'g')) = 1 AND contains(p, '{ar.SUKUN}'))) AS licensed, n FROM {_CELL} AS c) AS d GROUP BY 1, 2, 3""".replace("]]", "]")
+)
+def glyph_classes(spark, sf_dir):
+    p = tokens.arabic_vocabulary(table(spark, sf_dir, "documents")).select(F.explode(ar.phones(F.col("surface"))).alias("p"), "n")
+    c = p.select(glyphs.base_class(F.left("p", F.lit(1))).alias("base"), glyphs.cell_kind(F.col("p")).alias("kind"), glyphs.licensed(F.col("p")).alias("licensed"), "n")
+    return c.groupBy("base", "kind", "licensed").agg(F.count("*").alias("cells"), F.sum("n").alias("tokens"))
+
+
+def _tense_sql():
+    m, lt = ar.MARK + "*", ar.LETTER + ar.MARK + "*"
+    s = f"(CASE WHEN length(surface) >= 4 AND regexp_matches(surface, '^[وف]{ar.FATHA}') THEN substr(surface, 3) ELSE surface END)"
+    hit = lambda p: f"regexp_matches({s}, {sql.q(p)})"
+    fatha, damma = hit(f"^[{tenses.PREFIXES}]{m}{ar.FATHA}"), hit(f"^[{tenses.PREFIXES}]{m}{ar.DAMMA}")
+    imp = f"{hit('^' + lt * 3)} AND (({fatha} AND {hit('^' + lt + ar.LETTER + m + ar.SUKUN)}) OR {damma} OR ({fatha} AND {hit('^' + lt + lt + ar.LETTER + m + ar.SHADDA)}) OR ({fatha} AND {hit('^' + lt + ar.LETTER + m + '[' + ar.DAMMA + ar.KASRA + ']' + m + '[ويا]' + m + ar.LETTER)}))"
+    order = f"{hit('^[اٱ]' + m + '[^ل' + ar.MARKS + ']' + m + ar.SUKUN + m + ar.LETTER)} AND NOT (suffix({sql.strip(s)}, 'ان') AND length({sql.strip(s)}) > 4)"
+    return f"CASE WHEN surface = '' THEN NULL WHEN {imp} THEN 'IMPERFECT' WHEN {order} THEN 'IMPERATIVE' ELSE 'PAST' END"
+
+
+vocabulary_query("tense_label", tenses.tense, _tense_sql())
+
+
+def _ending_sql():
+    b = _BARE
+    last = f"regexp_extract(surface, {sql.q('(' + ar.MARK + ')$')}, 1)"
+    return f"""CASE WHEN suffix({b}, 'ون') AND length({b}) > 4 THEN 'PL M INDICATIVE' WHEN suffix({b}, 'ين') THEN 'SG F INDICATIVE' WHEN suffix({b}, 'ان') THEN 'DU M INDICATIVE' WHEN suffix({b}, 'ن') AND NOT suffix({b}, 'ون') THEN 'PL F INDICATIVE'
+    WHEN suffix({b}, 'وا') THEN 'PL M SUBJUNCTIVE' WHEN suffix({b}, 'ي') AND starts_with({b}, 'ت') THEN 'SG F SUBJUNCTIVE' WHEN suffix({b}, 'ا') AND NOT suffix({b}, 'نا') AND NOT suffix({b}, 'تا') THEN 'DU M SUBJUNCTIVE'
+    ELSE 'SG M ' || CASE {last} WHEN {sql.q(ar.FATHA)} THEN 'SUBJUNCTIVE' WHEN {sql.q(ar.SUKUN)} THEN 'JUSSIVE' ELSE 'INDICATIVE' END END"""
+
+
+vocabulary_query("imperfect_ending", tenses.imperfect_ending, _ending_sql())
+
+
+@query(
+    f"""SELECT surface, substr(sha256('WORD|' || 'LETTERS=' || length({sql.rx('surface', '[^' + ar.LETTER[1:])}) || '|PATTERN=' || CASE WHEN len(f) = 1 THEN f[1] ELSE '?' END || '|TENSE=' || {_tense_sql()}), 1, 16) AS claim,
+    CASE WHEN len(f) > 1 THEN 'AMBIGUOUS' WHEN len(f) = 0 THEN 'UNKNOWN' ELSE 'KNOWN' END AS pattern_state FROM (SELECT surface, {_fit_sql()} AS f FROM (SELECT surface, {sql.phones('surface')} AS c FROM {sql.VOCABULARY}) AS a) AS b"""
+)
+def typed_slot_claims(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents"))
+    s = F.array(
+        typed.slot("PATTERN", "MORPHOLOGY", F.lit(None).cast("string"), F.transform(patterns.fits(F.col("surface")), lambda x: x["wazn_id"])),
+        typed.slot("TENSE", "MORPHOSYNTAX", tenses.tense(F.col("surface"))),
+        typed.slot("LETTERS", "SURFACE", ar.count_letters(F.col("surface"))),
+    )
+    v = v.select("surface", s.alias("slots"))
+    return v.select("surface", typed.claim_digest("WORD", F.col("slots")).alias("claim"), F.col("slots")[0]["state"].alias("pattern_state"))
+
+
+@query(
+    """SELECT doc_id, sum((rank >= 4)::INT)::BIGINT AS licensed, max(rank) AS highest_rank, max(stage) AS last_stage FROM (SELECT *, coalesce(max((status = 'BATIL')::INT) OVER (PARTITION BY doc_id ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
+    FROM (SELECT doc_id, stage, ((doc_id + stage) % 5)::INT AS rank, CASE WHEN (doc_id * 7 + stage) % 11 = 0 THEN 'BATIL' WHEN (doc_id + stage) % 5 < 4 THEN 'DEFERRED' ELSE 'SAHIH' END AS status FROM documents, (SELECT unnest(range(1, 20)) AS stage) AS s) AS t) AS u WHERE stopped = 0 GROUP BY 1"""
+)
+def stage_trace(spark, sf_dir):
+    """Nineteen stages a document with statuses that follow from its id; each trace ends at its first BATIL."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(19).cast("long"))).alias("stage"))
+    rank = F.expr("(doc_id + stage) % 5").cast("int")
+    t = d.withColumn("rank", rank).withColumn("status", F.when(F.expr("(doc_id * 7 + stage) % 11 = 0"), "BATIL").when(rank < 4, "DEFERRED").otherwise("SAHIH"))
+    return typed.trace_summary(typed.stop_at_first(t, "doc_id", "stage", "status"), "doc_id")
+
+
+_AGREE = """SELECT doc_id, pos, (surface IN ('is', 'was', 'are', 'be') OR starts_with(surface, 'th')) AS elig, surface IN ('she', 'her', 'of') AS fem, surface IN ('and', 'to') AS bnd, surface = 'that' AS joined, length(surface) % 2 = 0 AS other FROM """ + sql.TOKENS
+
+
+@query(
+    f"""WITH t AS ({_AGREE} AS k), a AS (SELECT *, elig AND (coalesce(lead(fem, 1) OVER w, false) OR (NOT coalesce(lead(bnd, 1) OVER w, false) AND (coalesce(lead(fem, 2) OVER w, false) OR (NOT coalesce(lead(bnd, 2) OVER w, false) AND coalesce(lead(fem, 3) OVER w, false))))) AS a FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    e AS (SELECT *, CASE WHEN a THEN true WHEN NOT elig AND bnd AND other THEN false END AS ev FROM a), c AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM e)
+    SELECT doc_id, sum(elig::INT)::BIGINT AS eligible, sum((a OR (elig AND joined AND coalesce(carried, false)))::INT)::BIGINT AS resolved FROM c GROUP BY 1"""
+)
+def agreement_context(spark, sf_dir):
+    s = F.col("surface")
+    t = tokens.words(table(spark, sf_dir, "documents")).select(
+        "doc_id", "pos", (s.isin("is", "was", "are", "be") | s.startswith("th")).alias("elig"), s.isin("she", "her", "of").alias("fem"), s.isin("and", "to").alias("bnd"), (s == "that").alias("joined"), (F.length(s) % 2 == 0).alias("other")
+    )
+    return context.resolve_subject(t).groupBy("doc_id").agg(F.sum(F.col("elig").cast("long")).alias("eligible"), F.sum(F.col("resolved").cast("long")).alias("resolved"))
+
+
+@query("SELECT source, forms, lang, kind, CASE WHEN forms >= 2 AND lang IS NOT NULL AND kind IS NOT NULL THEN 'ACCEPT' ELSE 'DEFER' END AS verdict FROM (SELECT source || '-' || (n_chars % 50) AS source, count(*) AS forms, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS lang, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) END AS kind FROM (SELECT *, CASE WHEN n_chars > 1500 THEN 'long' ELSE 'short' END AS kind FROM documents) AS d GROUP BY 1) AS t")
+def root_consensus(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), (F.col("n_chars") % 50).cast("string")).alias("source"), "lang", F.when(F.col("n_chars") > 1500, "long").otherwise("short").alias("kind"))
+    return evaluation.consensus(d, "source", ["lang", "kind"])
+
+
+@query("SELECT count(*) AS n, bit_xor(('0x' || substr(md5(doc_id || '|' || text || '|' || lang || '|' || source || '|' || n_chars), 1, 15))::BIGINT) AS digest FROM documents")
+def manifest_digest(spark, sf_dir):
+    return evaluation.table_digest(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+@query("""SELECT 'repeated_key' AS "check", (count(text) - count(DISTINCT text))::BIGINT AS n FROM documents UNION ALL SELECT 'missing_lang', sum((lang IS NULL)::INT)::BIGINT FROM documents UNION ALL SELECT 'missing_source', sum((source IS NULL)::INT)::BIGINT FROM documents""")
+def integrity_check(spark, sf_dir):
+    return evaluation.integrity(table(spark, sf_dir, "documents"), "text", ["lang", "source"])
+
+
+_SUF3 = ["tion", "ing", "ed", "er", "th"]
+
+
+@query(
+    "WITH RECURSIVE s AS (SELECT surface, surface AS host, 0 AS depth FROM (SELECT DISTINCT surface FROM " + sql.TOKENS + ") AS t UNION ALL "
+    "SELECT surface, left(host, length(host) - length(a)) AS host, depth + 1 AS depth FROM s JOIN (SELECT unnest(['tion', 'ing', 'ed', 'er', 'th']) AS a) AS x ON suffix(host, a) AND length(host) - length(a) >= 2 WHERE depth < 3), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY depth DESC, length(host), host) AS k FROM s) SELECT depth::BIGINT AS depth, count(*) AS words, sum(length(surface) - length(host))::BIGINT AS stripped FROM r WHERE k = 1 GROUP BY 1"
+)
+def attached_suffixes(spark, sf_dir):
+    """Suffixes stripped up to three deep; the deepest reading wins, then the one that strips most. Endings exclude each other, so a reading is a chain."""
+    w = tokens.words(table(spark, sf_dir, "documents")).select("surface").distinct().withColumn("host", F.col("surface")).withColumn("depth", F.lit(0).cast("long"))
+    for _ in range(3):
+        a = lookup.longest_affix(F.col("host"), _SUF3, 2, end=True)
+        w = w.select("surface", F.when(a.isNull(), F.col("host")).otherwise(F.left("host", F.length("host") - F.length(a))).alias("host"), (F.col("depth") + a.isNotNull().cast("long")).alias("depth"))
+    return w.groupBy("depth").agg(F.count("*").alias("words"), F.sum(F.length("surface") - F.length("host")).alias("stripped"))
