@@ -136,6 +136,7 @@ class CrossParser:
         texts = [plain(t or "") for t in texts]
         if not self.langs:
             return [("und", 0.0)] * len(texts)
+        texts = [t if any(map(str.isalpha, t)) else "" for t in texts]
         length = np.array([len(t) for t in texts])
         rate = self.phrases(texts) * self.bits / np.maximum(length, 1)[:, None]
         best = rate.argmin(1)

@@ -38,9 +38,9 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_texts(spark):
-    docs = spark.createDataFrame([(1, None, None), (2, "12 !", "en"), (None, "abc", "en"), (4, "the cat", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, None, None), (2, "12 !", "en"), (None, "abc", "en"), (4, "the cat", None), (5, "½ ²", "en")], "doc_id long, text string, lang string")
     got = li.identify(docs, li.CrossParser({"en": "the cat sat", "de": "der hund"})).collect()
-    assert [r.lang_pred for r in got] == ["und", "und", "en", "en"]
+    assert [r.lang_pred for r in got] == ["und", "und", "en", "en", "und"]
     assert {r.lang_pred for r in li.identify(docs, li.CrossParser({})).collect()} == {"und"}
     assert li.identify(docs.limit(0), li.train(docs.limit(0))).count() == 0
 
