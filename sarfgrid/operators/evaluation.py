@@ -63,3 +63,19 @@ def integrity(rows: DataFrame, key: str, required: list[str]) -> DataFrame:
     """check, n: repeated keys and missing fields, as n minus distinct and null counts."""
     sums = rows.agg((F.count(key) - F.count_distinct(key)).alias("repeated_key"), *[F.sum(F.col(c).isNull().cast("long")).alias("missing_" + c) for c in required])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("n")) for c in sums.columns])).alias("x")).select("x.*")
+
+
+def registry_faults(owners: DataFrame, uses: DataFrame, key: str) -> DataFrame:
+    """key, fault: DUPLICATE where a key has several owners, DANGLING where a use has none."""
+    twice = owners.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("DUPLICATE").alias("fault"))
+    o = owners.select(F.col(key).alias("o_key"))
+    dangling = uses.select(key).distinct().join(o, F.col(key) == F.col("o_key"), "left_anti").select(key, F.lit("DANGLING").alias("fault"))
+    return twice.unionByName(dangling)
+
+
+def agreement_of_runs(runs: DataFrame, key: str, run: str, fields: list[str]) -> DataFrame:
+    """n, stable, missing: keys whose fields are the same in all runs, and keys that some run lacks."""
+    total = runs.agg(F.count_distinct(run).alias("runs"))
+    g = runs.groupBy(key).agg(F.count_distinct(run).alias("seen"), F.count_distinct(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("?")).alias(f) for f in fields])).alias("kinds"))
+    j = g.join(F.broadcast(total))  # one row
+    return j.agg(F.count("*").alias("n"), F.sum(((F.col("kinds") == 1) & (F.col("seen") == F.col("runs"))).cast("long")).alias("stable"), F.sum((F.col("seen") < F.col("runs")).cast("long")).alias("missing"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arabic as ar
+from ..functions.binding import let
 
 RADICALS = "فعل"
 
@@ -136,7 +137,10 @@ def template_cells(pattern: str) -> list[str]:
 
 def fits(surface: Column) -> Column:
     """array of struct(wazn_id, root): the templates whose letters and vowels a word has; the last letter's marks are free."""
-    cells = ar.phones(surface)
+    return let(ar.phones(surface), _fits)
+
+
+def _fits(cells: Column) -> Column:
     out = []
     for pattern, name, _ in WAZN:
         want = template_cells(pattern)

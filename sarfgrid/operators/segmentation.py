@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import arabic as ar
+from ..functions.binding import let
 
 # Attached pronouns, and endings that inflect and are no pronouns.
 ENCLITICS = ["هما", "كما", "هم", "كم", "نا", "ني", "ها", "ه", "ك", "ي"]
@@ -43,3 +44,28 @@ def proclitic(c: Column) -> Column:
             fits = fits & rest_bare.rlike("^[يتنأ]")
         particle, kind = F.when(fits, letter).otherwise(particle), F.when(fits, k).otherwise(kind)
     return F.struct(particle.alias("particle"), kind.alias("kind"), F.when(particle.isNotNull(), rest).otherwise(c).alias("rest"))
+
+
+# Words that stay whole, and operators that stay whole.
+PROTECTED = ["الله", "اللهِ", "اللهَ", "هَذَا", "هَذِهِ", "هَؤُلَاءِ", "هَذَانِ", "هَاتَانِ", "هُوَ", "هِيَ", "هُمَا", "هُمْ", "هُنَّ", "الَّذِي", "الَّتِي", "الَّذِينَ", "ذَلِكَ", "ذَلِكُمْ", "تِلْكَ", "أُولَئِكَ", "إِذَا", "أَيُّهَا", "أَيَّتُهَا"]
+OPERATORS = ["مِنْ", "عَنْ", "إِلَى", "عَلَى", "فِي", "مَعَ", "حَتَّى", "بَيْنَ", "فَوْقَ", "تَحْتَ", "قَبْلَ", "بَعْدَ", "عِنْدَ", "إِنَّ", "أَنَّ", "كَأَنَّ", "لَكِنَّ", "لَيْتَ", "لَعَلَّ", "لَوْ", "لَوْلَا", "مَا", "لَا", "إِنْ", "لَمَّا", "قَدْ", "لَنْ", "هَلْ", "بَلْ", "أَمَّا", "ثُمَّ", "أَوْ", "أَمْ", "كَمَا"]
+
+
+def segment(c: Column) -> Column:
+    """struct(route, particle, article, host, pronoun): whole words first, then particle, article and pronoun are peeled off in this order."""
+
+    def parts(p, a, rest, e):
+        tail = F.lit("")
+        for x in ENCLITICS:
+            tail = F.when(e == x, F.regexp_extract(rest, "(" + "".join(f"{k}{ar.MARK}*" for k in x) + ")$", 1)).otherwise(tail)
+        whole = F.when(c.isin(*PROTECTED), "PROTECTED").when(c.isin(*OPERATORS), "OPERATOR")
+        route = F.concat_ws("+", F.when(p["particle"].isNotNull(), "PROCLITIC"), F.when(a["kind"] != "none", "ARTICLE"), F.lit("HOST"), F.when(e.isNotNull(), "ENCLITIC"))
+        return F.struct(
+            F.coalesce(whole, route).alias("route"),
+            F.when(whole.isNull(), p["particle"]).alias("particle"),
+            F.when(whole.isNull() & (a["kind"] != "none"), a["article"]).alias("article"),
+            F.when(whole.isNull(), F.left(rest, F.length(rest) - F.length(tail))).otherwise(c).alias("host"),
+            F.when(whole.isNull(), e).alias("pronoun"),
+        )
+
+    return let(proclitic(c), lambda p: let(p["rest"], lambda r: let(ar.article_span(r), lambda a: let(a["rest"], lambda rest: let(enclitic(rest), lambda e: parts(p, a, rest, e))))))

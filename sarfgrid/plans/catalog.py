@@ -573,3 +573,68 @@ def attached_suffixes(spark, sf_dir):
         a = lookup.longest_affix(F.col("host"), _SUF3, 2, end=True)
         w = w.select("surface", F.when(a.isNull(), F.col("host")).otherwise(F.left("host", F.length("host") - F.length(a))).alias("host"), (F.col("depth") + a.isNotNull().cast("long")).alias("depth"))
     return w.groupBy("depth").agg(F.count("*").alias("words"), F.sum(F.length("surface") - F.length("host")).alias("stripped"))
+
+
+# segmentation, word class, registries, runs
+from ..operators import wordclass  # noqa: E402
+
+
+def _segments_sql():
+    """whole, route, particle, host and pronoun of the vocabulary, peeled in nested selects whose column is always ``surface``."""
+    inside = f"SELECT surface AS whole, n, {_proclitic_sql()} AS pro FROM {sql.VOCABULARY}"
+    rest = f"SELECT *, CASE WHEN pro IS NULL THEN whole ELSE regexp_replace(whole, {sql.q('^.' + ar.MARK + '*')}, '') END AS surface FROM ({inside}) AS s1"
+    after = f"substr(surface, length({_SPAN}) + 1)"
+    light = f"regexp_replace({after}, {sql.q('^([' + ar.SOLAR + '][' + ar.MARKS.replace(ar.SHADDA, '') + ']*)' + ar.SHADDA)}, '\\1')"
+    host = f"SELECT whole, n, pro, {_HAS} AS art, CASE WHEN NOT {_HAS} THEN surface WHEN {_SOLAR} THEN {light} ELSE {after} END AS surface FROM ({rest}) AS s2"
+    tails = " ".join(f"WHEN {sql.q(e)} THEN regexp_extract(surface, {sql.q('(' + ''.join(c + ar.MARK + '*' for c in e) + ')$')}, 1)" for e in segmentation.ENCLITICS)
+    cut = f"SELECT *, CASE enc {tails} ELSE '' END AS tail FROM (SELECT *, {_enclitic_sql()} AS enc FROM ({host}) AS s3) AS s4"
+    route = f"CASE WHEN whole IN {_W(segmentation.PROTECTED)} THEN 'PROTECTED' WHEN whole IN {_W(segmentation.OPERATORS)} THEN 'OPERATOR' ELSE concat_ws('+', CASE WHEN pro IS NOT NULL THEN 'PROCLITIC' END, CASE WHEN art THEN 'ARTICLE' END, 'HOST', CASE WHEN enc IS NOT NULL THEN 'ENCLITIC' END) END"
+    return f"(SELECT whole, n, {route} AS route, art, enc, left(surface, length(surface) - length(tail)) AS host FROM ({cut}) AS s5)"
+
+
+@query(f"SELECT whole AS surface, n, route, CASE WHEN route IN ('PROTECTED', 'OPERATOR') THEN whole ELSE host END AS host, CASE WHEN route NOT IN ('PROTECTED', 'OPERATOR') THEN enc END AS pronoun FROM {_segments_sql()} AS s")
+def segment_token(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents")).select("surface", "n", segmentation.segment(F.col("surface")).alias("s"))
+    return v.select("surface", "n", "s.route", "s.host", "s.pronoun")
+
+
+_VERBS = _W(wordclass.VERBAL)
+
+
+def _word_class_sql():
+    seg = f"SELECT *, {sql.gate('sl')} AS gate FROM (SELECT *, {sql.slots('cl')} AS sl FROM (SELECT whole, n, route, art, host AS surface, {sql.classes('whole')} AS cl FROM {_segments_sql()} AS s) AS w4) AS w5"
+    fit = f"SELECT *, {_fit_sql()} AS f, {_tense_sql()} AS t FROM (SELECT *, {sql.phones('surface')} AS c FROM ({seg}) AS w1) AS w2"
+    verbs = f"len(list_filter(f, lambda z: z IN {_VERBS}))"
+    return f"""SELECT n, CASE WHEN gate = 'BLOCK' THEN 'UPSTREAM_BLOCK' WHEN route = 'OPERATOR' THEN 'OPERATOR' WHEN route = 'PROTECTED' THEN 'CLOSED_CLASS' WHEN art THEN 'ARTICLE' WHEN regexp_matches(whole, '[{ar.TANWIN}]') THEN 'TANWIN' WHEN suffix({_BARE}, 'ة') THEN 'TAA_MARBUTA'
+    WHEN t = 'IMPERFECT' THEN 'IMPERFECT_PREFIX' WHEN t = 'IMPERATIVE' THEN 'IMPERATIVE_SHAPE' WHEN len(f) > 0 AND {verbs} = len(f) THEN 'VERBAL_PATTERN' WHEN len(f) > 0 AND {verbs} = 0 THEN 'NOMINAL_PATTERN' WHEN len(f) > 0 THEN 'AMBIGUOUS_PATTERN' ELSE 'NO_PATTERN' END AS reason FROM ({fit}) AS w3"""
+
+
+@query(f"SELECT CASE WHEN reason = 'OPERATOR' THEN 'HARF' WHEN reason IN ('IMPERFECT_PREFIX', 'IMPERATIVE_SHAPE', 'VERBAL_PATTERN', 'AMBIGUOUS_PATTERN') THEN 'FI3L' WHEN reason <> 'UPSTREAM_BLOCK' THEN 'ISM' END AS word_class, reason, count(*) AS words, sum(n)::BIGINT AS tokens FROM ({_word_class_sql()}) AS w GROUP BY 1, 2")
+def word_class(spark, sf_dir):
+    v = tokens.arabic_vocabulary(table(spark, sf_dir, "documents"))
+    v = v.withColumn("slots", syllable.slots(syllable.classes(F.col("surface")))).withColumn("gate", syllable.word_gate(F.col("slots")))
+    c = v.select("n", wordclass.classify(F.col("surface"), F.col("gate")).alias("c"))
+    return c.groupBy("c.word_class", "c.reason").agg(F.count("*").alias("words"), F.sum("n").alias("tokens"))
+
+
+@query("SELECT doc_id, 'DUPLICATE' AS fault FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) AS o GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT doc_id, 'DANGLING' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def registry_faults(spark, sf_dir):
+    """Documents without a label dangle; toxic rows are entered twice on purpose."""
+    owners = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return evaluation.registry_faults(owners.unionByName(owners.where("toxic = 1")).select("doc_id"), table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT count(*) AS n, sum((kinds = 1 AND seen = 3)::INT)::BIGINT AS stable, sum((seen < 3)::INT)::BIGINT AS missing FROM (SELECT doc_id, count(DISTINCT run) AS seen, count(DISTINCT lang || '/' || len) AS kinds FROM (SELECT doc_id, 1 AS run, lang, n_chars AS len FROM documents UNION ALL SELECT doc_id, 2, lang, length(text) FROM documents UNION ALL SELECT doc_id, 3, lang, length(trim(text)) FROM documents WHERE lang <> 'es') AS r GROUP BY 1) AS t")
+def compare_runs(spark, sf_dir):
+    """Three readings of a document's length: as stated, counted, and trimmed (this one without Spanish)."""
+    d = table(spark, sf_dir, "documents")
+    r = lambda k, c, w: d.where(w).select("doc_id", F.lit(k).alias("run"), "lang", c.cast("long").alias("len"))
+    runs = r(1, F.col("n_chars"), "true").unionByName(r(2, F.length("text"), "true")).unionByName(r(3, F.length(F.trim("text")), "lang <> 'es'"))
+    return evaluation.agreement_of_runs(runs, "doc_id", "run", ["lang", "len"])
+
+
+@query("SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'size', CASE WHEN n_chars > 5000 THEN 'long' WHEN n_chars > 500 THEN 'middle' ELSE 'short' END AS v, count(*) FROM documents GROUP BY v")
+def summary_stats(spark, sf_dir):
+    size = F.when(F.col("n_chars") > 5000, "long").when(F.col("n_chars") > 500, "middle").otherwise("short")
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in (("lang", F.col("lang")), ("source", F.col("source")), ("size", size))])
+    return table(spark, sf_dir, "documents").select(F.explode(cells).alias("c")).groupBy("c.field", "c.value").agg(F.count("*").alias("n"))

@@ -104,3 +104,29 @@ def test_sources(spark, tmp_path):
     io.write_jsonl(c, str(tmp_path / "j"))
     assert io.read_jsonl(spark, str(tmp_path / "j"), "surface string").count() == 3
     assert io.read_text(spark, str(tmp_path / "a.txt")).first().value.startswith("  one")
+
+
+def test_segmentation_and_word_class(spark):
+    from sarfgrid.operators import wordclass
+
+    words = ["وَالْكِتَابُ", "مِنْ", "هَذَا", "بِكِتَابِهِمْ", "يَكْتُبُ", "كَاتِبٌ", "كَتَّاب", "الْكِتَابُ"]
+    df = spark.createDataFrame([(w, "ACCEPT") for w in words] + [("مِن", "BLOCK")], "surface string, gate string")
+    got = {r.surface: (r.route, r.host) for r in df.select("surface", segmentation.segment(F.col("surface")).alias("s")).select("surface", "s.*").collect()}
+    assert got["وَالْكِتَابُ"] == ("PROCLITIC+ARTICLE+HOST", "كِتَابُ") and got["مِنْ"] == ("OPERATOR", "مِنْ") and got["هَذَا"] == ("PROTECTED", "هَذَا")
+    assert got["بِكِتَابِهِمْ"] == ("PROCLITIC+HOST+ENCLITIC", "كِتَابِ")
+    got = {r.surface: (r.word_class, r.reason) for r in df.select("surface", wordclass.classify(F.col("surface"), F.col("gate")).alias("s")).select("surface", "s.*").collect()}
+    assert got["مِنْ"] == ("HARF", "OPERATOR") and got["الْكِتَابُ"] == ("ISM", "ARTICLE") and got["يَكْتُبُ"] == ("FI3L", "IMPERFECT_PREFIX")
+    assert got["كَاتِبٌ"] == ("ISM", "TANWIN") and got["كَتَّاب"] == ("ISM", "NOMINAL_PATTERN") and got["مِن"] == (None, "UPSTREAM_BLOCK")
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from sarfgrid.streaming import gates
+
+    rows = [("2024-01-01 00:0%d:00" % (k % 10), "كَتَبَ مَدْدْدْ بَيْت") for k in range(20)]
+    df = spark.createDataFrame(rows, "t string, text string").select(F.col("t").cast("timestamp").alias("t"), "text")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = gates.gate_counts(stream, "t", "text").writeStream.format("memory").queryName("gate_counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.verdict: r.n for r in spark.table("gate_counts").collect()} == {"ACCEPT": 40, "DEFER": 20}
