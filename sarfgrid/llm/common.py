@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -18,9 +19,23 @@ WS = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts that fit a worker beside its other work."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def tidy() -> None:
+    """Give a worker's freed memory back to the system: workers live on, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path goes to Spark's reader only, so any store works."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,7 +76,16 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
                 out = fn({n: b.column(i) for i, n in enumerate(b.schema.names)})
                 types = types or list(out)
                 yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n][0], out[n][1]) for n in types], names=types)
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+
+
+def written_in_buckets(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """As written(), but in n hash buckets of key: later work by key needs no shuffle of these rows."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)

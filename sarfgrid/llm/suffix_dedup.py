@@ -5,7 +5,8 @@ smaller id is removed. Suffixes are sampled: any LENGTH bytes hold GRAM bytes wh
 fingerprint is least among the LENGTH - GRAM + 1 inside, and equal strings choose the
 same ones, so only suffixes around these *anchors* (one byte in sixteen) are looked at.
 
-1. Documents are packed into chunks of some MB, written once.
+1. Documents are packed into chunks of some MB, written once, in hash buckets: no later
+   step shuffles a text.
 2. Every chunk sends its anchors' fingerprints, sorted and packed, to their buckets;
    a bucket answers each chunk with the anchors that another document shares.
 3. Only shared anchors send their surroundings (the bytes any LENGTH-byte string over
@@ -34,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, tidy, written_in_buckets
 from .shingles import mix, powers, prefix_sums
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes on either side of an anchor that one string over it can hold
 WIDTH = GRAM + 2 * REACH
 #: Bytes of text of one chunk, and of text whose anchors share one bucket.
-CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 2_000_000
 #: Bytes that are fingerprinted at once, and suffixes of one batch.
 SLAB, BATCH = 1_000_000, 150_000
 LAST = np.iinfo(np.int64).max
@@ -130,6 +131,7 @@ def chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
                     seq, ids, texts, held = seq + 1, [], [], 0
         if ids:
             yield row()
+        tidy()
 
     return docs.mapInArrow(run, "chunk long, payload binary")
 
@@ -169,6 +171,7 @@ def send_prints(n: int):
                 got = [(k, pack(np.diff(u[a:z], prepend=np.uint64(0)), many[a:z])) for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if z > a]
                 if got:
                     yield record(["bucket", "chunk", "blob"], pa.array([g[0] for g in got], pa.int64()), pa.array([chunk] * len(got), pa.int64()), pa.array([g[1] for g in got], pa.binary()))
+            tidy()
 
     return run
 
@@ -252,6 +255,7 @@ def send_surroundings(n: int):
                 if e > s:
                     o = order[s:e]
                     out.append((k, chunk, 1, pack(ids[doc[o]], doc[o].astype(np.int32), at[o] - starts[doc[o]], la[o], ra[o], view[o].ravel())))
+        tidy()
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([x[1] for x in out], pa.int64()), "kind": pa.array([x[2] for x in out], pa.int32()), "blob": pa.array([x[3] for x in out], pa.binary())})
 
     return run
@@ -338,6 +342,7 @@ def find_spans(rows: pa.Table) -> pa.Table:
         for c in np.unique(chunk[end >= 0]).tolist():
             k = (chunk == c) & (end >= 0)
             out.append((c, pack(doc[k].astype(np.int64), start[k], end[k])))
+        tidy()
     return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
 
@@ -363,14 +368,16 @@ def cut(key, left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
             out["kept"].append(left.decode(errors="ignore"))
             out["text_sha256"].append(hashlib.sha256(raw[s:e].tobytes()).hexdigest())
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    tidy()
     return pa.table({n: pa.array(out[n], k) for n, k in zip(out, kinds, strict=True)})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (characters cut in half fall away) and text_sha256 (of the whole text) of every row."""
-    packed = written(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), chunk_bytes), "dedup-chunks")
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(8, -(-total // bucket_bytes))
+    packed = written_in_buckets(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), chunk_bytes), "dedup-chunks", "chunk", max(8, -(-total // chunk_bytes)))
     prints = packed.mapInArrow(send_prints(n), "bucket long, chunk long, blob binary")
     answers = prints.groupBy("bucket").applyInArrow(shared_prints, "chunk long, blob binary")
     entries = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_surroundings(n), "bucket long, chunk long, kind int, blob binary")
