@@ -13,8 +13,8 @@ come earlier than itself. Pieces that their own text doesn't merge to never occu
 stay out of the table. Words of more than MASK_CHARS characters, and runs of blanks,
 are merged by a heap of pairs instead, one word at a time.
 
-Words are folded once a chunk of CHUNK_BYTES of text; nothing is shuffled but the
-chunk's distinct words and its texts as numbers of words, both compressed.
+Words are folded once a chunk of CHUNK_BYTES of text. Chunks (their distinct words, and
+texts as numbers of words) are written once in hash buckets; nothing is shuffled.
 
 Defined results: null and empty texts have no pieces; characters outside the
 vocabulary become their UTF-8 bytes' pieces; repeated rows are encoded each; decoding
@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, tidy, written_in_buckets
 from .suffix_dedup import pack, unpack
 
 MARK = "▁"
 MASK_CHARS = 60
-CHUNK_BYTES = 10_000_000
+CHUNK_BYTES = 8_000_000
 
 
 class Pieces:
@@ -72,8 +72,15 @@ class Pieces:
         self.rank = {p: k for k, p in enumerate(order)}
         self.edges = self.prove(order)
         self.whole = set(self.edges)
-        core = "".join(map(re.escape, sorted(self.core)))
-        self.units = re.compile(f"{MARK}*[{core}]+|{MARK}+|[^{core}{MARK}]", re.S)
+        self.units = self._units()
+
+    def _units(self) -> re.Pattern:
+        """Cuts that no merge can cross: before a blank mark, around characters of no longer piece, and, if no piece holds a letter beside another character, between those."""
+        quoted = lambda cs: "".join(map(re.escape, sorted(cs)))
+        core, letters = quoted(self.core), {c for c in self.core if c.isalpha()}
+        mixed = any(a.isalpha() != b.isalpha() for w in self.edges for a, b in zip(w, w[1:], strict=False) if MARK not in (a, b))
+        runs = [core] if mixed else [quoted(letters), quoted(self.core - letters)]
+        return re.compile("|".join(f"{MARK}*[{r}]+" for r in runs if r) + f"|{MARK}+|[^{core}{MARK}]", re.S)
 
     def parts(self, word: str) -> tuple[list[str], tuple[str, str] | None]:
         """Merges of a word by a heap of pairs: best score first, then leftmost; and the last merge's two parts."""
@@ -131,8 +138,14 @@ class Pieces:
             return self.ids(self.parts(word)[0])
         if mask is None:
             return [i for c in word for i in self.char(c)]
-        cuts = [k for k in range(len(word) + 1) if mask >> k & 1]
-        return self.ids([word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        out, a, mask = [], 0, mask >> 1
+        while mask:  # the next boundary is the lowest bit
+            step = (mask & -mask).bit_length()
+            piece = word[a : a + step]
+            i = self.text.get(piece)
+            out += [i] if i is not None else self.char(piece)
+            a, mask = a + step, mask >> step
+        return out
 
     def split(self, text: str) -> list[str]:
         return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -172,11 +185,16 @@ def chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
         ids, n_units, numbers, held = [], [], [], 0
 
         def row():
-            names = list(units)
+            number = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+            order = np.argsort(-np.bincount(number, minlength=len(units)), kind="stable")  # frequent units get small numbers
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            listed = list(units)
+            names = [listed[k] for k in order.tolist()]
             words = sorted({w for u in names if 1 < len(w := p.word_of(u)) <= MASK_CHARS and w not in p.whole and w[-1] in p.core})
             raw = [u.encode() for u in names]
             null = np.array([i is None for i in ids], bool)
-            body = pack(np.array([i or 0 for i in ids], np.int64), null, np.array(n_units, np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.uint32), np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8))
+            body = pack(np.array([i or 0 for i in ids], np.int64), null, np.array(n_units, np.int64), place[number], np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8))
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([body], pa.binary()), pa.array(["\n".join(words)])], names=["chunk", "payload", "words"])
 
         for b in batches:
@@ -192,6 +210,7 @@ def chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
                     seq, ids, n_units, numbers, held = seq + 1, [], [], [], 0
         if ids:
             yield row()
+        tidy()
 
     return docs.mapInArrow(run, "chunk long, payload binary, words string")
 
@@ -228,10 +247,11 @@ def masks(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_BYTES, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_pieces, ids (on demand), ids_sha256 (of little-endian int32) and round_trip, decoded_sha256 of every row."""
-    packed = written(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), path, size), "piece-chunks")
+    small_batches(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    packed = written_in_buckets(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), path, size), "piece-chunks", "chunk", max(8, -(-total // size)))
     p = pieces(path)
-    n = max(packed.count(), 1)
-    lines = packed.select(F.col("chunk").alias("c"), "words").repartition(n, "c")
+    lines = packed.select(F.col("chunk").alias("c"), "words")
     words = lines.where("words <> ''").select("c", F.posexplode(F.split("words", "\n")).alias("w", "word"))
     lattice = masks(words, piece_table(docs.sparkSession, p), p.longest)
 
@@ -257,6 +277,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 out["round_trip"].append(text == "".join(names[k] for k in mine).replace(MARK, " ")[1:].encode())
                 out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.bool_(), pa.string())
+        tidy()
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
     right = packed.groupBy("chunk")
