@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, tidy
 
 ERROR_PERCENT = 5
 #: Characters of the items that one automaton holds.
@@ -116,6 +116,7 @@ class Matcher:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PERCENT, id_col="doc_id", text_col="text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The contaminated documents: doc_id, contaminated (true), n_items, item_ids, distance (least)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t IS NOT NULL")
     chars = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
@@ -144,6 +145,7 @@ def _searcher(sent):
                     distance.append(min(g[1] for g in got))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(distance, pa.int32())], names=["doc_id", "item_ids", "distance"])
+        tidy()
 
     return run
 

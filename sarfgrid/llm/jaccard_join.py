@@ -24,17 +24,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import small_batches, table, tidy, written
 from .components import connected_components
 from .shingles import set_key, shingle_set
 
 PERCENT = 90
 #: Counters of the sketch that orders elements, and of the filter that finds candidates again (fixed sizes).
-SKETCH_BITS, FILTER_BITS, SKETCH_PARTS = 21, 23, 32
+SKETCH_BITS, FILTER_BITS, SKETCH_PARTS = 21, 23, 64
+#: Tasks' sketches are summed in so many groups a part first.
+SKETCH_GROUPS = 64
 #: Share of a set's elements by which the prefix is longer, and so the common part asked of it.
 EXTRA = 0.05
 #: Shingles of one chunk of a cluster.
@@ -66,7 +69,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, key), and of the tasks' sketches (part, counts)."""
+    """Rows of documents (doc_id, n, key), and of the tasks' sketches (part, counts, and the task's group as n)."""
 
     def run(batches):
         counts, size = np.zeros(1 << SKETCH_BITS, np.uint32), (1 << SKETCH_BITS) // SKETCH_PARTS
@@ -78,9 +81,10 @@ def summaries(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), *none], names=["doc_id", "n", "key", "part", "counts"])
         full = [k for k in range(SKETCH_PARTS) if counts[k * size : (k + 1) * size].any()]
         if full:
-            none = [pa.nulls(len(full), pa.int64())] * 3
+            none, group = pa.nulls(len(full), pa.int64()), TaskContext.get().partitionId() % SKETCH_GROUPS
             blobs = [zlib.compress(counts[k * size : (k + 1) * size].tobytes(), 1) for k in full]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "key", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([none, pa.array([group] * len(full), pa.int64()), none, pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "key", "part", "counts"])
+        tidy()
 
     return docs.mapInArrow(run, "doc_id long, n long, key long, part int, counts binary")
 
@@ -89,15 +93,23 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
     """The summed sketch, as 8-bit logarithms: 2 MB whatever the input."""
     size = (1 << SKETCH_BITS) // SKETCH_PARTS
 
-    def add(key, rows):
-        total = np.zeros(size, np.uint64)
+    def total(rows):
+        out = np.zeros(size, np.uint64)
         for blob in rows.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(blob), np.uint32)
-        logs = np.minimum(np.log2(1 + total.astype(float)) * 6, 255).astype(np.uint8)
+            out += np.frombuffer(zlib.decompress(blob), np.uint32)
+        return out
+
+    def some(key, rows):
+        counts = np.minimum(total(rows), 2**32 - 1).astype(np.uint32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
+
+    def add(key, rows):
+        logs = np.minimum(np.log2(1 + total(rows).astype(float)) * 6, 255).astype(np.uint8)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([logs.tobytes()], pa.binary())})
 
+    grouped = rows.where("part IS NOT NULL").select("part", "n", "counts").groupBy("part", "n").applyInArrow(some, "part int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in rows.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, logs binary").collect():  # SKETCH_PARTS rows
+    for r in grouped.groupBy("part").applyInArrow(add, "part int, logs binary").collect():  # SKETCH_PARTS rows
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["logs"], np.uint8)
     return out
 
@@ -119,6 +131,7 @@ def postings(docs: DataFrame, sketch, percent: int) -> DataFrame:
                     ns.append(np.full(len(hs[-1]), len(s)))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ns).astype(np.int32))], names=["h", "key", "n"])
+        tidy()
 
     return docs.mapInArrow(run, "h long, key long, n int")
 
@@ -153,6 +166,7 @@ def candidate_sets(docs: DataFrame, bits) -> DataFrame:
                     got[k] = s.tobytes()
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["key", "set"])
+        tidy()
 
     return docs.mapInArrow(run, "key long, set binary")
 
@@ -224,6 +238,8 @@ def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in got.column("set").to_pylist()]
         side = got.column("mine").to_numpy() if key[1].as_py() != key[2].as_py() else None
         out = link_cluster(got.column("key").to_numpy(), sets, percent, side)
+        if len(sets) > 200:
+            tidy()
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
@@ -231,6 +247,7 @@ def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     context = docs.sparkSession.sparkContext
     rows = written(summaries(docs), "join-summaries")
