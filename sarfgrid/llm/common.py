@@ -87,5 +87,6 @@ def written_in_buckets(df: DataFrame, label: str, key: str, n: int) -> DataFrame
     """As written(), but in n hash buckets of key: later work by key needs no shuffle of these rows."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    n = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))  # beyond, a bucket holds several keys' rows
     df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
