@@ -40,7 +40,7 @@ from .suffix_dedup import pack, unpack
 
 MARK = "▁"
 MASK_CHARS = 60
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 
 class Pieces:
