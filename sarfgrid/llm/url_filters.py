@@ -4,8 +4,9 @@ Host and path are cut out by string functions; of the rules that fit, the longes
 decides. Urls without a rule are judged by naive Bayes over the words of host and
 path: labels and path parts are split at signs, and letter runs are segmented by a
 unigram Viterbi over word counts of the pages' own text. The rule-decided urls are the
-training data. Counts cover all pages; the driver holds VOCABULARY words and FEATURES
-tokens at most (those with most counts), which every task gets as a broadcast.
+training data. Counts cover all pages and all words; the driver, and every task by a
+broadcast, holds the words that are part of a letter run of some url (no other can be
+asked for) and the tokens of the rule-decided urls.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule,
 and gets the classes' prior verdict; ties in naive Bayes allow; with no training rows
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, table, written
 
 #: rule -> verdict; a rule is host and path together.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-VOCABULARY, FEATURES = 30_000, 50_000
 MAX_WORD = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RUN = re.compile(r"[a-z]+")
 
 
 def with_rules(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
@@ -54,8 +55,9 @@ def word_counts(texts: DataFrame, col: str, markup: bool = False) -> DataFrame:
 class Segmenter:
     """Unigram Viterbi; letters that no word covers cost more than any word."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """total: the count of all words, where counts leaves some out."""
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.letter = math.log(total) + 2
         self.split = lru_cache(100_000)(self._split)
@@ -95,9 +97,22 @@ def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
     return out
 
 
+def url_parts(pages: DataFrame) -> DataFrame:
+    """part: the distinct strings of 2 to MAX_WORD letters within letter runs of hosts and paths."""
+
+    def fn(c):
+        runs = {r for h, p in zip(c["host"].to_pylist(), c["path"].to_pylist(), strict=True) for text in (h, p.lower()) for r in _RUN.findall(text)}
+        return {"part": (list({r[i:j] for r in runs for i in range(len(r)) for j in range(i + 2, min(len(r), i + MAX_WORD) + 1)}), pa.string())}
+
+    return arrow_map(with_rules(pages, {}).select("host", "path"), fn, "part string").distinct()
+
+
 def train_words(pages: DataFrame) -> Segmenter:
-    top = word_counts(pages, "html", markup=True).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return Segmenter({r["word"]: r["n"] for r in top})
+    counts = written(word_counts(pages, "html", markup=True), "url-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = url_parts(pages)
+    known = counts.join(parts, counts["word"] == parts["part"], "left_semi").collect()  # words that urls hold
+    return Segmenter({r["word"]: r["n"] for r in known}, total)
 
 
 def train_bayes(ruled: DataFrame, segmenter: Segmenter) -> dict:
@@ -116,7 +131,7 @@ def train_bayes(ruled: DataFrame, segmenter: Segmenter) -> dict:
     got = bags.select("ruled", "n", F.explode("tokens").alias("token")).groupBy("token").agg(block.alias("b"), F.sum("n").alias("n"))
     sums = got.agg(F.sum("b"), F.sum("n"), F.count("*")).first()
     nb, na, v = sums[0] or 0, (sums[1] or 0) - (sums[0] or 0), sums[2]
-    odds = {r["token"]: math.log((r["b"] + 1) / (nb + v)) - math.log((r["n"] - r["b"] + 1) / (na + v)) for r in got.orderBy(F.desc("n"), "token").limit(FEATURES).collect()}
+    odds = {r["token"]: math.log((r["b"] + 1) / (nb + v)) - math.log((r["n"] - r["b"] + 1) / (na + v)) for r in got.collect()}
     prior = math.log((classes["b"] + 1) / (classes["n"] - classes["b"] + 1))
     return {"prior": prior, "odds": odds}
 

@@ -70,3 +70,15 @@ def test_segmentation_is_the_best_split():
     seg = uf.Segmenter({"cheap": 50, "pills": 40, "pill": 30, "che": 2, "ap": 2, "s": 1})
     assert seg.split("cheappills") == ("cheap", "pills")
     assert "".join(seg.split("qqcheapzz")) == "qqcheapzz"
+
+
+def test_rare_words_are_known_to_the_segmenter(spark):
+    """More distinct words than any cap of the commonest: the rare ones that urls hold are still there, and the total counts all."""
+    rare = ["quagmire", "zephyr", "fr"]
+    common = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(31_000)]
+    rows = [(k, "http://a.example.org/x", " ".join(common[k::10]) + " " + " ".join(common[k::10])) for k in range(10)]
+    rows += [(10, "http://quagmirezephyr.example.org/fr/1", "<p>" + " ".join(rare) + "</p>"), (11, None, None)]
+    seg = uf.train_words(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert seg.split("quagmirezephyr") == ("quagmire", "zephyr") and seg.split("fr") == ("fr",)
+    whole = uf.Segmenter({w: 2 for w in common} | {w: 1 for w in rare})
+    assert seg.letter == whole.letter and all(whole.cost[w] == c for w, c in seg.cost.items())
