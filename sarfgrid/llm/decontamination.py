@@ -16,6 +16,7 @@ under each of their ids; repeated documents are reported each; a null doc_id is
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 
@@ -125,10 +126,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PE
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect()  # near block_chars characters
         sent = spark.sparkContext.broadcast(([tuple(r) for r in mine], percent))
-        got = docs.mapInArrow(_searcher(sent), "doc_id long, item_ids array<long>, distance int")
+        got = docs.mapInArrow(_searcher(sent), "doc_id long, text_sha256 string, item_ids array<long>, distance int").withColumn("block", F.lit(k))
         found = got if found is None else found.unionByName(got)
-    if blocks > 1:
-        found = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.min("distance").alias("distance"))
+    if blocks > 1:  # rows of one id and text match alike: merged over the blocks, and given back as often as they came
+        row = ["doc_id", "text_sha256"]
+        found = found.groupBy(*row, "block").agg(F.count("*").alias("n"), F.first("item_ids").alias("item_ids"), F.first("distance").alias("distance"))
+        found = found.groupBy(*row).agg(F.max("n").alias("n"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.min("distance").alias("distance"))
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return found.select("doc_id", F.lit(True).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.sort_array("item_ids").alias("item_ids"), "distance")
 
 
@@ -136,15 +140,16 @@ def _searcher(sent):
     def run(batches):
         matcher = Matcher(*sent.value)
         for b in batches:
-            ids, items, distance = [], [], []
+            ids, hashes, items, distance = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = matcher.matches(t)
                 if got:
                     ids.append(i)
+                    hashes.append(hashlib.sha256(t.encode()).hexdigest())
                     items.append([x for g in got for x in g[0]])
                     distance.append(min(g[1] for g in got))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(distance, pa.int32())], names=["doc_id", "item_ids", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.string()), pa.array(items, pa.list_(pa.int64())), pa.array(distance, pa.int32())], names=["doc_id", "text_sha256", "item_ids", "distance"])
         tidy()
 
     return run

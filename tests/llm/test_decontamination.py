@@ -68,3 +68,15 @@ def test_planted_passages(spark):
     want = {r.doc_id for r in docs.collect() if any(x in dc.normal(r.text) for x in items)}
     got = {r.doc_id for r in dc.op7_decontamination(spark, sf).collect()}
     assert want and want <= got and len(got) <= len(want) + 2
+
+
+def test_blocks_keep_rows_that_share_an_id(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(3, 8)))
+    items = [(k, " ".join(word() for _ in range(20))) for k in range(12)]
+    docs = [(i, f"{word()} {items[k][1]} {word()}") for i, k in ((None, 0), (None, 1), (7, 2), (7, 3), (8, 4))]
+    docs += [(None, docs[0][1]), (7, docs[2][1]), (8, docs[4][1]), (9, items[5][1] + " " + items[6][1] + " " + items[7][1])] * 2
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, dc.decontaminate(d, b, block_chars=size).collect())) for size in (4_000_000, 300))
+    assert one == many and len(one) == len(docs)
