@@ -23,6 +23,8 @@ from sarfgrid.llm.sentencepiece_lattice import encode
 from sarfgrid.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies: shingles of so many words, and the least Jaccard similarity of their sets.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -37,8 +39,8 @@ def good_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 90 % of 3-word shingles, the one of least id."""
-    return without(docs, jaccard_components(docs).where("doc_id <> component_id"))
+    """Of documents linked by a Jaccard similarity of NEAR_PERCENT of shingles of NEAR_WORDS words, the one of least id."""
+    return without(docs, jaccard_components(docs, NEAR_PERCENT, words=NEAR_WORDS).where("doc_id <> component_id"))
 
 
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ from .components import connected_components
 from .shingles import set_key, shingle_set
 
 PERCENT = 90
+#: Words of a shingle.
+WORDS = 3
 #: Counters of the sketch that orders elements, and of the filter that finds candidates again (fixed sizes).
 SKETCH_BITS, FILTER_BITS, SKETCH_PARTS = 21, 23, 64
 #: Tasks' sketches are summed in so many groups a part first.
@@ -68,13 +70,13 @@ def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
     return s[np.lexsort((s, sketch[slot(s, SKETCH_BITS)]))[:p]]
 
 
-def summaries(docs: DataFrame) -> DataFrame:
+def summaries(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows of documents (doc_id, n, key), and of the tasks' sketches (part, counts, and the task's group as n)."""
 
     def run(batches):
         counts, size = np.zeros(1 << SKETCH_BITS, np.uint32), (1 << SKETCH_BITS) // SKETCH_PARTS
         for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             for s in sets:
                 counts[slot(s, SKETCH_BITS)] += 1  # twice in a slot of one text counts once: only an order
             none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
@@ -114,7 +116,7 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(docs: DataFrame, sketch, percent: int) -> DataFrame:
+def postings(docs: DataFrame, sketch, percent: int, words: int = WORDS) -> DataFrame:
     """(h, key, n): each distinct set's prefix, once a task."""
 
     def run(batches):
@@ -122,7 +124,7 @@ def postings(docs: DataFrame, sketch, percent: int) -> DataFrame:
         for b in batches:
             hs, keys, ns = [], [], []
             for t in b.column(1).to_pylist():
-                s = shingle_set(t)
+                s = shingle_set(t, words)
                 k = set_key(s)
                 if len(s) and k not in seen:
                     seen.add(k)
@@ -150,7 +152,7 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     return reduce(np.bitwise_or, (np.frombuffer(zlib.decompress(r["bits"]), np.uint8) for r in blobs), np.zeros(1 << (FILTER_BITS - 3), np.uint8))
 
 
-def candidate_sets(docs: DataFrame, bits) -> DataFrame:
+def candidate_sets(docs: DataFrame, bits, words: int = WORDS) -> DataFrame:
     """(key, set) of the sets whose key may be a candidate's, once a task."""
 
     def run(batches):
@@ -158,7 +160,7 @@ def candidate_sets(docs: DataFrame, bits) -> DataFrame:
         for b in batches:
             got = {}
             for t in b.column(1).to_pylist():
-                s = shingle_set(t)
+                s = shingle_set(t, words)
                 k = set_key(s)
                 at = k & ((1 << FILTER_BITS) - 1)
                 if bits.value[at >> 3] >> (7 - (at & 7)) & 1 and k not in seen:
@@ -245,21 +247,21 @@ def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles (of so many words), component_id of every row."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     context = docs.sparkSession.sparkContext
-    rows = written(summaries(docs), "join-summaries")
+    rows = written(summaries(docs, words), "join-summaries")
     sketch = context.broadcast(sketch_of(rows))
-    p = postings(docs, sketch, percent).repartition("h").dropDuplicates(["h", "key"])
+    p = postings(docs, sketch, percent, words).repartition("h").dropDuplicates(["h", "key"])
     p = p.withColumn("k", F.count("*").over(Window.partitionBy("h"))).where("k > 1").select("h", "key", "n")
     p = p.withColumn("met", F.count("*").over(Window.partitionBy("key")))
     p = written(p.where(F.col("met") >= asked_column("n")).select("h", "key"), "join-postings")
     stars = p.withColumn("first", F.min("key").over(Window.partitionBy("h"))).where("key <> first")
     clusters = connected_components(stars.select(F.col("key").alias("a"), F.col("first").alias("b")))
     bits = context.broadcast(bit_filter(p))
-    found = connected_components(links(candidate_sets(docs, bits), clusters, percent))
+    found = connected_components(links(candidate_sets(docs, bits, words), clusters, percent))
     rows = rows.where("part IS NULL").select("doc_id", "n", "key")
     keyed = rows.join(found, rows["key"] == found["v"], "left").select("doc_id", "n", F.coalesce("root", "key").alias("c"))
     least = keyed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "of")

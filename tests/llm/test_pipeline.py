@@ -82,3 +82,30 @@ def test_every_stage_takes_odd_rows(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == corpus_pipeline.COLUMNS and out.count() <= len(data)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(data)
+
+
+def near_copies(rows, words=5, percent=80):
+    """Ids that go, by all pairs: linked to a lower id."""
+    sets = {i: {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for i, t in rows if (w := t.lower().split())}
+    root = {i: i for i, _ in rows}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root[i], root[j]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return {i for i in root if root[i] != i}
+
+
+def test_near_copies_are_of_five_words_and_four_fifths(spark, tmp_path):
+    r = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(40, 70))]
+        changed, longer = list(base), base + [f"w{r.randrange(10**6)}" for _ in range(len(base) * r.choice([1, 2, 3]) // 12)]
+        changed[len(base) // 2] = "other"
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(changed)), (10 * g + 2, " ".join(longer))]
+    gone = near_copies(rows)
+    assert gone > near_copies(rows, 3, 90)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1, 2) for i, t in rows], SCHEMA)
+    got = {x.doc_id for x in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()}
+    assert got == {i for i, _ in rows} - gone
