@@ -4,10 +4,10 @@ Every stage takes (spark, docs, sf_dir) and gives the columns of documents; the
 gives token ids. ``run`` writes each stage's rows to the shared folder and reads them
 again, so a lost executor costs one stage at most.
 
-A document is known by doc_id. Rows that share one are decided together where a stage
-drops by id; rows without one cannot be told apart and stay. Null and empty texts fail
-the quality rules; empty tables give empty results; columns beyond those of documents
-are dropped by every stage.
+A stage that drops documents first numbers its rows and decides on every row by that
+number: rows without a doc_id, and rows that share one, are judged each on their own.
+Null and empty texts fail the quality rules; empty tables give empty results; columns
+beyond those of documents are dropped by every stage.
 """
 
 from __future__ import annotations
@@ -27,20 +27,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for these ids; Spark broadcasts the ids only if they are few."""
-    gone = ids.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, written so that it stays the same whenever the rows are read."""
+    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs (numbered) but for the rows whose numbers are in rows' doc_id; Spark broadcasts the numbers only if they are few."""
+    gone = rows.select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, F.col("row") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def good_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules of documents and hosts (the source is the host)."""
-    return without(docs, quality_rules(docs).where("NOT kept"))
+    docs = numbered(docs)
+    return without(docs, quality_rules(docs, id_col="row").where("NOT kept"))
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of NEAR_PERCENT of shingles of NEAR_WORDS words, the one of least id."""
-    return without(docs, jaccard_components(docs, NEAR_PERCENT, words=NEAR_WORDS).where("doc_id <> component_id"))
+    """Of documents linked by a Jaccard similarity of NEAR_PERCENT of shingles of NEAR_WORDS words, one of least id (none counts as the greatest)."""
+    docs = numbered(docs)
+    groups = jaccard_components(docs, NEAR_PERCENT, id_col="row", words=NEAR_WORDS).select(F.col("doc_id").alias("of"), "component_id")
+    ids = docs.select("row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row").alias("rank"))
+    first = ids.join(groups, ids["row"] == groups["of"]).groupBy("component_id").agg(F.min("rank").alias("rank"))
+    stays = first.select(F.col("rank.row").alias("stays"))
+    return docs.join(stays, docs["row"] == stays["stays"], "left_semi").select(*COLUMNS)
 
 
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +65,8 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    docs = numbered(docs)
+    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col="row"))
 
 
 def pieces(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,23 @@ def test_near_copies_are_of_five_words_and_four_fifths(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1, 2) for i, t in rows], SCHEMA)
     got = {x.doc_id for x in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()}
     assert got == {i for i, _ in rows} - gone
+
+
+def test_every_row_is_decided_on_its_own(spark, tmp_path):
+    r = random.Random(8)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    item, a, b, c = line(20), line(40), line(40), line(40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def texts(stage, *rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, 2) for i, t in rows], SCHEMA)
+        return sorted((x.doc_id or -1, x.text) for x in stage(spark, docs, str(tmp_path)).collect())
+
+    good = [(k, line(30)) for k in range(20, 40)]
+    rejected = [(None, None), (None, "short"), (7, "short"), (None, "")]
+    assert texts(corpus_pipeline.good_documents, *good, (None, a), (7, b), *rejected) == sorted([*good, (-1, a), (7, b)])
+    near = [(None, a), (None, a + " more"), (None, a), (3, b), (3, b), (3, b + " more"), (None, b), (3, c), (None, None)]
+    got = [(i, t and t.removesuffix(" more")) for i, t in texts(corpus_pipeline.one_of_each_group, *near[:-1])]
+    assert sorted(got) == sorted([(-1, a), (3, b), (3, c)])
+    leaks = [(None, f"{a} {item}"), (5, f"{item} {b}"), (5, f"{item} {b}")]
+    assert texts(corpus_pipeline.decontaminated, *leaks, (None, a), (5, b)) == sorted([(-1, a), (5, b)])
