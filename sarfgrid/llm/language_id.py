@@ -3,8 +3,9 @@
 Per language a suffix automaton of a bounded sample of labelled text; a text is parsed
 greedily into the longest phrases that occur in that sample, and the language whose
 normalised phrase count (phrases times log2 of the sample's length, per letter) is
-least wins. The automata are dense transition tables, and all segments of an Arrow
-batch move through all languages' tables together, one character per numpy step.
+least wins. Every letter of a sample has its own code, transition tables hold only
+their language's letters (dense ones for alphabets, sorted ones for larger scripts), and all segments of an Arrow batch move through all languages'
+tables together, one character per numpy step. Letters that no sample holds share a code.
 
 Texts are lower-cased; characters that are no letters end up as single blanks. A text
 is parsed whole, in segments of SEGMENT characters that phrases don't cross.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ SAMPLE_ROWS, TOTAL_CHARS, LANGUAGE_CHARS = 48, 200_000, 40_000
 #: Lengths of texts that are taken for the sample first.
 GOOD_CHARS = (300, 4000)
 SEGMENT = 512
-LETTERS = 60
-WIDTH = LETTERS + 2  # 0: blank, 1..LETTERS, the last: any other letter
+#: Columns of a dense table at most; an alphabet beyond has sorted transitions, so memory does not grow with it.
+DENSE_WIDTH = 128
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -42,8 +42,8 @@ def plain(text: str) -> str:
     return _GAP.sub(" ", text.lower()).strip()
 
 
-def suffix_automaton(codes: list[int]) -> np.ndarray:
-    """Dense transitions of the automaton of all substrings; -1 where there is none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the automaton of all substrings, by state."""
     link, length, step = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -69,27 +69,46 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.full((len(step), WIDTH), -1, np.int32)
+    return step
+
+
+def dense(step: list[dict[int, int]], width: int) -> np.ndarray:
+    """Transitions as a table of width columns; -1 where there is none."""
+    table = np.full((len(step), width), -1, np.int32)
     for s, to in enumerate(step):
         for c, t in to.items():
-            table[s, c] = t * WIDTH
+            table[s, c] = t * width
     return table.ravel()
 
 
+def sparse(step: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Transitions as sorted keys (state * width + code) and their targets."""
+    got = sorted((s * width + c, t) for s, to in enumerate(step) for c, t in to.items())
+    return np.array([k for k, _ in got], np.int64), np.array([t for _, t in got], np.int32), width
+
+
 class CrossParser:
     """Counts phrases of texts under every language's sample."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        counts = Counter(c for s in samples.values() for c in s if c != " ")
-        self.code = {c: k + 1 for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        self.lut = np.full(0x3000, LETTERS + 1, np.uint8)
-        self.lut[32] = 0
-        for c, k in self.code.items():
-            if ord(c) < len(self.lut):
-                self.lut[ord(c)] = k
-        tables = [suffix_automaton(self.codes(samples[x]).tolist()) for x in self.langs]
+        letters = sorted({c for s in samples.values() for c in s} - {" "})
+        self.code = {" ": 0} | {c: k + 1 for k, c in enumerate(letters)}  # beyond: letters of no sample
+        self.lut = np.full(max(map(ord, self.code)) + 2, len(self.code), np.int32)
+        self.lut[[ord(c) for c in self.code]] = list(self.code.values())
+        # by language, a code's column in its table: the blank's and its own letters', and an empty one for all others
+        self.column, self.wide, tables = np.zeros((len(self.langs), len(self.code) + 1), np.int32), {}, []
+        for j, x in enumerate(self.langs):
+            mine = np.unique(np.append(self.codes(samples[x]), 0))
+            self.column[j] = len(mine)
+            self.column[j, mine] = np.arange(len(mine))
+            step, width = suffix_automaton(self.column[j, self.codes(samples[x])].tolist()), len(mine) + 1
+            if width > DENSE_WIDTH:
+                self.wide[j] = sparse(step, width)
+            tables.append(dense(step, width) if j not in self.wide else np.zeros(0, np.int32))
+        self.narrow = [j for j in range(len(self.langs)) if j not in self.wide]
         self.base = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int32)[:, None]
+        self.base[list(self.wide)] = 0
         self.next = np.concatenate([np.where(t < 0, t, t + b) for t, b in zip(tables, self.base[:, 0], strict=True)]) if tables else np.zeros(0, np.int32)
         self.bits = np.array([math.log2(max(len(samples[x]), 2)) for x in self.langs])
 
@@ -97,6 +116,19 @@ class CrossParser:
         a = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         return self.lut[np.minimum(a, len(self.lut) - 1)]
 
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states after one letter each, by language; -1 where there is none."""
+        if not self.wide:
+            return self.next[state + c]
+        state = np.broadcast_to(state, c.shape)
+        out = np.empty(c.shape, np.int32)
+        out[self.narrow] = self.next[state[self.narrow] + c[self.narrow]]
+        for j, (keys, targets, width) in self.wide.items():
+            k = state[j].astype(np.int64) * width + c[j]
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            out[j] = np.where(keys[at] == k, targets[at], -1)
+        return out
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases by text and language."""
         parts, owner = [], []
@@ -118,11 +150,11 @@ class CrossParser:
         count = np.ones((n_lang, len(order)), np.int64)
         for j in range(int(size[0])):
             n = int(np.searchsorted(-size, -j, "left"))  # segments longer than j
-            c = grid[j, :n]
-            to = self.next[state[:, :n] + c]
+            c = self.column[:, grid[j, :n]]
+            to = self.step(state[:, :n], c)
             miss = to < 0
             if miss.any():
-                fresh = self.next[self.base + c]
+                fresh = self.step(self.base, c)
                 count[:, :n] += miss if j else 0
                 unknown = fresh < 0
                 fresh = np.where(unknown, self.base, fresh)

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from sarfgrid.llm import language_id as li
 from sarfgrid.llm import url_filters as uf
 
@@ -82,3 +84,21 @@ def test_rare_words_are_known_to_the_segmenter(spark):
     assert seg.split("quagmirezephyr") == ("quagmire", "zephyr") and seg.split("fr") == ("fr",)
     whole = uf.Segmenter({w: 2 for w in common} | {w: 1 for w in rare})
     assert seg.letter == whole.letter and all(whole.cost[w] == c for w, c in seg.cost.items())
+
+
+@pytest.mark.parametrize("width", [128, 30, 1])
+def test_every_letter_of_the_samples_counts(monkeypatch, width):
+    """Scripts beyond U+3000, and more letters than 60 over all languages."""
+    samples = {
+        "zh": "今天 天气 很好 我们 一起 去 公园 散步 然后 回家 吃饭", "ja": "きょう は てんき が いい ので こうえん を さんぽ します",
+        "ko": "오늘 은 날씨 가 좋아서 공원 에서 산책 을 합니다", "el": "ο καιρός είναι καλός σήμερα και πάμε βόλτα",
+        "ru": "сегодня хорошая погода и мы идём гулять в парк", "en": "the quick brown fox jumps over the lazy dog",
+    }
+    monkeypatch.setattr(li, "DENSE_WIDTH", width)
+    parser = li.CrossParser(samples)
+    texts = ["我们 去 公园", "こうえん を さんぽ", "공원 에서 산책", "πάμε βόλτα", "мы идём гулять", "the lazy fox"]
+    assert [x for x, _ in parser.predict(texts)] == list(samples)
+    got = parser.phrases([li.plain(t) for t in texts])
+    for k, t in enumerate(texts):
+        own = parser.langs.index(list(samples)[k])
+        assert got[k, own] == brute_phrases(t, samples[parser.langs[own]])
