@@ -7,7 +7,8 @@ the sketch only makes lists short), and l grows with n, which leaves ordinary
 documents without partners. What is left falls into clusters; in each cluster every
 set queries the inverted lists of the others: short lists are merged and counted, long
 lists are only probed by binary search for sets that can still reach the required
-overlap, and partners that are linked already are skipped, since components are asked.
+overlap. Where components are asked, partners that are linked already are skipped;
+``jaccard_links`` skips none and gives every link, and the number of links of each row.
 
 Equal sets count once from the start. A cluster beyond BLOCK_SHINGLES is cut into
 chunks by hash, and every pair of chunks is searched, so no task holds more than two
@@ -207,12 +208,15 @@ class Lists:
         return cand[100 * count >= percent * (n + self.size[cand] - count)]
 
 
-def link_cluster(keys, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join the cluster's components; with sides, only links between different sides are looked for."""
+def link_cluster(keys, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """Links that join the cluster's components, or every link once; with sides, only links between different sides are looked for."""
     if len(sets) < 2:
         return []
     lists, label, members, out = Lists(sets), np.arange(len(sets)), [[k] for k in range(len(sets))], []
-    for q in range(len(sets)):
+    for q in range(len(sets) if every else 0):
+        later = lambda c, q=q: (c > q) & (True if side is None else side[c] != side[q])
+        out += [(int(keys[q]), int(keys[x])) for x in lists.partners(q, percent, later).tolist()]
+    for q in range(0 if every else len(sets)):
         apart = lambda c, q=q: (label[c] != label[q]) & (True if side is None else side[c] != side[q])
         for x in lists.partners(q, percent, apart).tolist():
             a, b = sorted((int(label[x]), int(label[q])), key=lambda k: len(members[k]))
@@ -224,8 +228,8 @@ def link_cluster(keys, sets: list[np.ndarray], percent: int, side: np.ndarray |
     return out
 
 
-def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """(a, b): enough links of keys to join every component. sets: key, set; clusters: v, root."""
+def links(sets: DataFrame, clusters: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """(a, b): enough links of keys to join every component, or every link once. sets: key, set; clusters: v, root."""
     c = clusters.select(F.col("v").alias("x"), F.col("root").alias("cluster"))
     rows = written(sets.join(c, sets["key"] == c["x"]).select("cluster", "key", "set").dropDuplicates(["key"]), "join-sets")
     total = rows.groupBy("cluster").agg(F.sum(F.length("set") / 8).alias("shingles"), F.count("*").alias("k")).where("k > 1")
@@ -239,7 +243,7 @@ def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
         got = rows.sort_by("key")
         sets = [np.frombuffer(x, np.uint64) for x in got.column("set").to_pylist()]
         side = got.column("mine").to_numpy() if key[1].as_py() != key[2].as_py() else None
-        out = link_cluster(got.column("key").to_numpy(), sets, percent, side)
+        out = link_cluster(got.column("key").to_numpy(), sets, percent, side, every)
         if len(sets) > 200:
             tidy()
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
@@ -247,8 +251,8 @@ def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles (of so many words), component_id of every row."""
+def search(docs: DataFrame, percent: int, id_col: str, text_col: str, words: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, key) of every row, and the links of keys: enough for the components, or all."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     context = docs.sparkSession.sparkContext
@@ -261,8 +265,29 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     stars = p.withColumn("first", F.min("key").over(Window.partitionBy("h"))).where("key <> first")
     clusters = connected_components(stars.select(F.col("key").alias("a"), F.col("first").alias("b")))
     bits = context.broadcast(bit_filter(p))
-    found = connected_components(links(candidate_sets(docs, bits, words), clusters, percent))
-    rows = rows.where("part IS NULL").select("doc_id", "n", "key")
+    return rows.where("part IS NULL").select("doc_id", "n", "key"), links(candidate_sets(docs, bits, words), clusters, percent, every)
+
+
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Without the skip of linked partners: (doc_id, n_shingles, set_key, n_links) of every row, and (a, b), every link between distinct sets' keys once.
+
+    n_links counts the other rows that a row links with, those of an equal set too. The
+    links of a group of near copies grow with the square of its distinct sets.
+    """
+    rows, found = search(docs, percent, id_col, text_col, words, True)
+    found = written(found, "join-links")
+    size = rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"))
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(size, both["b"] == size["key"]).groupBy("a").agg(F.sum("copies").alias("others"))
+    per_set = size.join(others, size["key"] == others["a"], "left").select(F.col("key").alias("of"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.join(per_set, (rows["key"] == per_set["of"]) & (rows["n"] > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), found
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles (of so many words), component_id of every row."""
+    rows, found = search(docs, percent, id_col, text_col, words, False)
+    found = connected_components(found)
     keyed = rows.join(found, rows["key"] == found["v"], "left").select("doc_id", "n", F.coalesce("root", "key").alias("c"))
     least = keyed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "of")
     out = keyed.join(least, (keyed["c"] == least["of"]) & (keyed["n"] > 0), "left")

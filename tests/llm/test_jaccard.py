@@ -100,3 +100,20 @@ def test_connected_components(spark):
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect())
     assert all(got[k] == 0 for k in range(51)) and got[100] == got[99] == 99 and got[300] == got[201] == 200
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [2_000_000, 900])
+def test_every_link_is_given(spark, monkeypatch, block):
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", block)
+    rows = [*corpus(3), (900, None), (901, ""), (902, "a b c d e"), (903, "a b c d e")]
+    sets = {i: set(shingle_set(t).tolist()) for i, t in rows}
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 90 * len(a | b)
+    want = {i: sum(j != i and linked(sets[i], sets[j]) for j in sets) for i in sets}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs, pairs = jj.jaccard_links(df)
+    got = {r.doc_id: r for r in docs.collect()}
+    assert {i: r.n_links for i, r in got.items()} == want and max(want.values()) > 2
+    key = {r.set_key: i for i, r in got.items()}
+    mine = [tuple(sorted((key[r.a], key[r.b]))) for r in pairs.collect()]
+    different = sorted(key.values())
+    assert sorted(mine) == [(i, j) for i in different for j in different if i < j and linked(sets[i], sets[j])]
