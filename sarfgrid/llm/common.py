@@ -8,6 +8,7 @@ import uuid
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,12 +82,15 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-
+def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges a..b-1, range after range, and the ranges' lengths."""
+    n = b - a
+    return np.repeat(a - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum()), n
 
 def written_in_buckets(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """As written(), but in n hash buckets of key: later work by key needs no shuffle of these rows."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     n = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))  # beyond, a bucket holds several keys' rows
-    df.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)

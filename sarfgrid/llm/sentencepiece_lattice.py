@@ -13,8 +13,11 @@ come earlier than itself. Pieces that their own text doesn't merge to never occu
 stay out of the table. Words of more than MASK_CHARS characters, and runs of blanks,
 are merged by a heap of pairs instead, one word at a time.
 
-Words are folded once a chunk of CHUNK_BYTES of text. Chunks (their distinct words, and
-texts as numbers of words) are written once in hash buckets; nothing is shuffled.
+Chunks of CHUNK_BYTES of text (their distinct words, and texts as numbers of words) are
+written once in hash buckets. Words are counted by chunks; the KNOWN words at most that
+most chunks hold are folded once a corpus and sent to all tasks (bounded by KNOWN words of
+MASK_CHARS characters), every other word is folded once a chunk, beside its chunk: no text
+and no mask is shuffled. Texts are composed and compared SLAB units at a time.
 
 Defined results: null and empty texts have no pieces; characters outside the
 vocabulary become their UTF-8 bytes' pieces; repeated rows are encoded each; decoding
@@ -27,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,12 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, tidy, written_in_buckets
+from .common import small_batches, spread, table, tidy, written, written_in_buckets
 from .suffix_dedup import pack, unpack
 
 MARK = "▁"
 MASK_CHARS = 60
 CHUNK_BYTES = 4_000_000
+#: Words that are folded once a corpus, at most; and steps of a doubling in which their least count is sought.
+KNOWN, STEPS = 1 << 19, 16
+#: Units of a text that are composed at once.
+SLAB = 1_000_000
 
 
 class Pieces:
@@ -73,6 +81,9 @@ class Pieces:
         self.edges = self.prove(order)
         self.whole = set(self.edges)
         self.units = self._units()
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
     def _units(self) -> re.Pattern:
         """Cuts that no merge can cross: before a blank mark, around characters of no longer piece, and, if no piece holds a letter beside another character, between those."""
@@ -234,48 +245,98 @@ def fold(edges: Column, n: Column) -> Column:
     return F.aggregate(edges, bit(n.cast("int") + 1) - one, step)
 
 
-def masks(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(c, w, mask): the lattice of every word with an edge. words: c (chunk), w, word."""
-    at = words.select("c", "w", "word", F.length("word").alias("n")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 2)))
+def masks(words: DataFrame, table: DataFrame, longest: int, key: list[str]) -> DataFrame:
+    """key and mask: the lattice of every word with an edge. words: key and word."""
+    at = words.select(*key, F.col("word").alias("of"), F.length("word").alias("n")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 2)))
     at = at.withColumn("l", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("n") - F.col("s")))))
-    sub = at.select("c", "w", "n", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("word", F.col("s") + 1, F.col("l")).alias("sub"))
+    sub = at.select(*key, "n", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("of", F.col("s") + 1, F.col("l")).alias("sub"))
     edges = sub.join(F.broadcast(table), sub["sub"] == table["piece"])  # the vocabulary
-    key = (F.col("rank").cast("long") * 64 + F.col("s")) * 64 + F.col("e")
-    lattice = edges.groupBy("c", "w").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(key)).alias("edges"))
-    return lattice.select("c", "w", fold(F.col("edges"), F.col("n")).alias("mask"))
+    edge = (F.col("rank").cast("long") * 64 + F.col("s")) * 64 + F.col("e")
+    lattice = edges.groupBy(*key).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    return lattice.select(*key, fold(F.col("edges"), F.col("n")).alias("mask"))
+
+
+class Known:
+    """Masks of words that many chunks hold (None: no edge), and in a worker the ids of those it has met."""
+
+    def __init__(self, masks: dict[str, int | None]):
+        self.masks, self.met = masks, {}
+
+    def ids(self, p: Pieces, unit: str, own: dict[str, int]) -> bytes:
+        """A unit's ids as int32 bytes; own: masks of the words that only its chunk folds."""
+        got = self.met.get(unit)
+        if got is None:
+            word = p.word_of(unit)
+            bounded = word == unit and (word in self.masks or word in p.whole)
+            got = array("i", p.unit_ids(unit, self.masks[word] if word in self.masks else own.get(word))).tobytes()
+            if bounded:
+                self.met[unit] = got
+        return got
+
 
+def known_words(lines: DataFrame, limit: int) -> DataFrame:
+    """(known): the words that most chunks hold, limit at most; words of one chunk are left to it."""
+    words = lines.select(F.explode(F.split("words", "\n")).alias("known"))
+    level = F.floor(F.log2("chunks") * STEPS).cast("int")
+    counted = written(words.groupBy("known").agg(F.count("*").alias("chunks")).where("chunks > 1").select("known", level.alias("level")), "piece-counts")
+    sizes = sorted(counted.groupBy("level").count().collect(), reverse=True)  # a row for each sixteenth of a doubling
+    held = np.cumsum([r["count"] for r in sizes])
+    least = min((r["level"] for r, n in zip(sizes, held, strict=True) if n <= limit), default=1 << 30)
+    return counted.where(F.col("level") >= least).select("known")
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_BYTES, keep_ids: bool = True) -> DataFrame:
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_BYTES, keep_ids: bool = True, known: int = KNOWN) -> DataFrame:
     """doc_id, n_pieces, ids (on demand), ids_sha256 (of little-endian int32) and round_trip, decoded_sha256 of every row."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     packed = written_in_buckets(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), path, size), "piece-chunks", "chunk", max(8, -(-total // size)))
     p = pieces(path)
-    lines = packed.select(F.col("chunk").alias("c"), "words")
-    words = lines.where("words <> ''").select("c", F.posexplode(F.split("words", "\n")).alias("w", "word"))
-    lattice = masks(words, piece_table(docs.sparkSession, p), p.longest)
+    vocabulary = piece_table(spark, p)
+    lines = packed.where("words <> ''").select(F.col("chunk").alias("c"), "words")
+    often = known_words(lines, known)
+    folded = dict(masks(often.select("known", F.col("known").alias("word")), vocabulary, p.longest, ["known"]).toPandas().itertuples(index=False))  # limit rows at most
+    sent = spark.sparkContext.broadcast(Known({w: folded.get(w) for w in often.toPandas()["known"]}))
+    words = lines.select("c", F.posexplode(F.split("words", "\n")).alias("w", "word"))
+    rest = words.join(F.broadcast(often), words["word"] == often["known"], "left_anti")  # limit rows at most
+    lattice = masks(rest, vocabulary, p.longest, ["c", "w"])
 
     def compose(key, left, right):
-        of, out = pieces(path), {k: [] for k in ("doc_id", "n_pieces", "ids", "ids_sha256", "round_trip", "decoded_sha256")}
+        of, often = pieces(path), sent.value
+        out = {k: [] for k in ("doc_id", "n_pieces", "ids", "ids_sha256", "round_trip", "decoded_sha256")}
         for payload, lines in zip(right.column("payload").to_pylist(), right.column("words").to_pylist(), strict=True):
             ids, null, n_units, numbers, lengths, raw = unpack(payload)
             cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
             raw = raw.tobytes()
             names = [raw[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
             listed = lines.split("\n")
-            mask = {listed[w]: m for w, m in zip(left.column("w").to_pylist(), left.column("mask").to_pylist(), strict=True)}
-            each = [np.array(of.unit_ids(u, mask.get(of.word_of(u))), np.int32) for u in names]
+            own = {listed[w]: m for w, m in zip(left.column("w").to_pylist(), left.column("mask").to_pylist(), strict=True)}
+            each = [often.ids(of, u, own) for u in names]
+            shown = [u.replace(MARK, " ").encode() for u in names]
+            pieces_of, bytes_of = Runs(each, np.int32), Runs(shown, np.uint8)
             stop = np.cumsum(n_units).tolist()
             for i, z, a, b in zip(ids.tolist(), null.tolist(), [0, *stop], stop, strict=False):
-                mine = numbers[a:b].tolist()
-                got = np.concatenate([each[k] for k in mine]) if mine else np.zeros(0, np.int32)
-                text = of.decode(got.tolist())
+                digest, text, same, held, first = hashlib.sha256(), hashlib.sha256(), True, [], True
+                n = 0
+                for s in range(a, b, SLAB):
+                    mine = numbers[s : min(s + SLAB, b)]
+                    got = pieces_of.of(mine)
+                    decoded = of.flat[spread(of.start[got], of.start[got] + of.size[got])[0]]
+                    want = bytes_of.of(mine)
+                    if first:  # the blank that encoding put there
+                        decoded, want, first = decoded[1:] if decoded[:1] == 32 else decoded, want[1:], False
+                    same = same and np.array_equal(decoded, want)
+                    digest.update(got.tobytes())
+                    text.update(decoded.tobytes())
+                    n += len(got)
+                    if keep_ids:
+                        held.append(got)
                 out["doc_id"].append(None if z else i)
-                out["n_pieces"].append(len(got))
-                out["ids"].append(got if keep_ids else None)
-                out["ids_sha256"].append(hashlib.sha256(got.tobytes()).hexdigest())
-                out["round_trip"].append(text == "".join(names[k] for k in mine).replace(MARK, " ")[1:].encode())
-                out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
+                out["n_pieces"].append(n)
+                out["ids"].append(np.concatenate([np.zeros(0, np.int32), *held]) if keep_ids else None)
+                out["ids_sha256"].append(digest.hexdigest())
+                out["round_trip"].append(same)
+                out["decoded_sha256"].append(text.hexdigest())
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.bool_(), pa.string())
         tidy()
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
@@ -284,6 +345,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return lattice.groupBy("c").cogroup(right).applyInArrow(compose, "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, round_trip boolean, decoded_sha256 string")
 
 
+class Runs:
+    """Byte strings as one array of items, to be strung together by number."""
+
+    def __init__(self, each: list[bytes], kind):
+        self.flat = np.frombuffer(b"".join(each), kind)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(kind).itemsize
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return self.flat[spread(self.start[numbers], self.end[numbers])[0]]
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The rows with their text, as ``decoded``: the pieces' bytes in order, without the blank that encoding put in front."""
     p = pieces(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, crc_mod_py, table, written
+from .common import arrow_map, crc_mod, crc_mod_py, spread, table, written
 
 #: Labelled rows of either class that are indexed, at most.
 SAMPLE_ROWS = 3000
@@ -49,12 +49,6 @@ def terms_of(text: str) -> dict[str, int]:
     return counts
 
 
-def spread(a: np.ndarray, b: np.ndarray):
-    """The numbers of all ranges a..b-1, range after range, and the ranges' lengths."""
-    n = b - a
-    return np.repeat(a - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum()), n
-
-
 class Index:
     """Block-max inverted index over the examples' unit vectors."""
 

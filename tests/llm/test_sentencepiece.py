@@ -35,8 +35,8 @@ def test_heap_equals_the_library(library):
 def test_encoding_equals_the_library_and_decodes(spark, library):
     rows = [(k, t, 1) for k, t in enumerate(texts())] + [(None, "no id", 1), (5000, None, 1), (3, "again", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
-    for size in (10_000_000, 2000):
-        got = sl.decode(sl.encode(df, PATH, size=size), PATH).collect()
+    for size, known in ((10_000_000, sl.KNOWN), (2000, sl.KNOWN), (2000, 100), (2000, 0)):
+        got = sl.decode(sl.encode(df, PATH, size=size, known=known), PATH).collect()
         assert len(got) == len(rows)
         want = sorted((i if i is not None else -1, library.encode(t or "")) for i, t, _ in rows)
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.ids) for r in got) == want
