@@ -46,7 +46,7 @@ MARK = "▁"
 MASK_CHARS = 60
 CHUNK_BYTES = 4_000_000
 #: Words that are folded once a corpus, at most; and steps of a doubling in which their least count is sought.
-KNOWN, STEPS = 1 << 19, 16
+KNOWN, STEPS = 1 << 18, 16
 #: Units of a text that are composed at once.
 SLAB = 1_000_000
 
@@ -257,10 +257,15 @@ def masks(words: DataFrame, table: DataFrame, longest: int, key: list[str]) -> D
 
 
 class Known:
-    """Masks of words that many chunks hold (None: no edge), and in a worker the ids of those it has met."""
+    """Masks of words that many chunks hold (0: no edge), opened in a worker, and there the ids of those it has met."""
 
-    def __init__(self, masks: dict[str, int | None]):
-        self.masks, self.met = masks, {}
+    def __init__(self, words: list[str], masks: np.ndarray):
+        self.sent, self.masks, self.met = pack(np.frombuffer("\n".join(words).encode(), np.uint8), masks), None, {}
+
+    def open(self) -> None:
+        if self.masks is None:
+            words, masks = unpack(self.sent)
+            self.masks = dict(zip(words.tobytes().decode().split("\n"), masks.tolist(), strict=False))
 
     def ids(self, p: Pieces, unit: str, own: dict[str, int]) -> bytes:
         """A unit's ids as int32 bytes; own: masks of the words that only its chunk folds."""
@@ -268,7 +273,7 @@ class Known:
         if got is None:
             word = p.word_of(unit)
             bounded = word == unit and (word in self.masks or word in p.whole)
-            got = array("i", p.unit_ids(unit, self.masks[word] if word in self.masks else own.get(word))).tobytes()
+            got = array("i", p.unit_ids(unit, (self.masks[word] or None) if word in self.masks else own.get(word))).tobytes()
             if bounded:
                 self.met[unit] = got
         return got
@@ -295,14 +300,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     vocabulary = piece_table(spark, p)
     lines = packed.where("words <> ''").select(F.col("chunk").alias("c"), "words")
     often = known_words(lines, known)
-    folded = dict(masks(often.select("known", F.col("known").alias("word")), vocabulary, p.longest, ["known"]).toPandas().itertuples(index=False))  # limit rows at most
-    sent = spark.sparkContext.broadcast(Known({w: folded.get(w) for w in often.toPandas()["known"]}))
+    folded = masks(often.select(F.col("known").alias("at"), F.col("known").alias("word")), vocabulary, p.longest, ["at"])
+    table = often.join(folded, often["known"] == folded["at"], "left").select("known", F.coalesce("mask", F.lit(0)).alias("mask")).toArrow()  # known rows at most
+    sent = spark.sparkContext.broadcast(Known(table["known"].to_pylist(), table["mask"].to_numpy()))
+    del table
     words = lines.select("c", F.posexplode(F.split("words", "\n")).alias("w", "word"))
     rest = words.join(F.broadcast(often), words["word"] == often["known"], "left_anti")  # limit rows at most
     lattice = masks(rest, vocabulary, p.longest, ["c", "w"])
 
     def compose(key, left, right):
         of, often = pieces(path), sent.value
+        often.open()
         out = {k: [] for k in ("doc_id", "n_pieces", "ids", "ids_sha256", "round_trip", "decoded_sha256")}
         for payload, lines in zip(right.column("payload").to_pylist(), right.column("words").to_pylist(), strict=True):
             ids, null, n_units, numbers, lengths, raw = unpack(payload)
