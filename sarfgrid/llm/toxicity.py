@@ -20,6 +20,7 @@ each. Evidence (the nearest examples' ids) comes with every score.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import arrow_map, crc_mod, crc_mod_py, spread, table, written
 #: Labelled rows of either class that are indexed, at most.
 SAMPLE_ROWS = 3000
 #: The commonest terms whose weights are a dense table (for speed; results are the same with any number).
-DENSE = 512
+DENSE = 1024
 NEIGHBOURS = 15
 BLOCK = 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -85,14 +86,21 @@ class Index:
         self.of_term = np.searchsorted(slot[first] // max(self.blocks, 1), np.arange(len(terms) + 1)).astype(np.int64)
         self.rows, self.blank, self.scale = rows, 0.0, (0.0, 1.0)
 
+    def weighted(self, t: np.ndarray, n: np.ndarray):
+        """The unit vector of terms, sorted, and their counts."""
+        w = (1 + np.log(n)) * self.idf[t]
+        return t, w / np.sqrt((w * w).sum()) if len(t) else w
+
     def unit(self, counts: dict[int, int]):
         t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[k] for k in t.tolist()], float))) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / np.sqrt((w * w).sum()) if len(t) else w
+        return self.weighted(t, np.array([counts[k] for k in t.tolist()], float))
 
     def vector(self, text: str):
-        look = self.term
-        return self.unit({look[t]: n for t, n in terms_of(text).items() if t in look})
+        counts = terms_of(text)
+        t = np.fromiter(map(self.term.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), float, len(counts))
+        by = np.argsort(t, kind="stable")[np.count_nonzero(t < 0) :]
+        return self.weighted(t[by], n[by])
 
     def common(self, vectors: list) -> np.ndarray:
         """By vector and example, the part of the cosine that the terms of the dense table make."""
@@ -112,7 +120,7 @@ class Index:
         w, block = np.repeat(w[rare], n), self.block[pairs]
         bound = np.maximum.reduceat(part, np.arange(0, len(part), BLOCK)) + np.bincount(block, self.most[pairs] * w, self.blocks)
         order = np.argsort(-bound, kind="stable")
-        docs, cos, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 6
+        docs, cos, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 24
         while done < len(order):
             least = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
             todo = order[done : done + step]
