@@ -54,10 +54,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _scratch[path] = ""
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths written by this session and not released, with their table's name, if any.
+_scratch: dict[str, str] = {}
+
+
+def scratch() -> list[str]:
+    """Paths of what written() and written_in_buckets() left so far, oldest first."""
+    return list(_scratch)
+
+
+def release(spark: SparkSession, paths, labels: tuple[str, ...] = ("",)) -> None:
+    """Delete scratch of these labels that nothing will read again, through the store's own file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        if path in _scratch and path.rsplit("/", 1)[1].startswith(labels):
+            name = _scratch.pop(path)
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -92,5 +114,7 @@ def written_in_buckets(df: DataFrame, label: str, key: str, n: int) -> DataFrame
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     n = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))  # beyond, a bucket holds several keys' rows
-    df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    _scratch[path] = name
+    df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", path).saveAsTable(name)
     return spark.table(name)

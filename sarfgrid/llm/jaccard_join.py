@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, table, tidy, written
+from .common import release, scratch, small_batches, table, tidy, written
 from .components import connected_components
 from .shingles import set_key, shingle_set
 
@@ -43,6 +43,8 @@ SKETCH_BITS, FILTER_BITS, SKETCH_PARTS = 21, 23, 64
 SKETCH_GROUPS = 64
 #: Share of a set's elements by which the prefix is longer, and so the common part asked of it.
 EXTRA = 0.05
+#: Scratch that nothing reads once the links are written.
+SPENT = ("join-postings", "join-sets", "cc-")
 #: Shingles of one chunk of a cluster.
 BLOCK_SHINGLES = 2_000_000
 
@@ -274,8 +276,10 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     n_links counts the other rows that a row links with, those of an equal set too. The
     links of a group of near copies grow with the square of its distinct sets.
     """
+    before = set(scratch())
     rows, found = search(docs, percent, id_col, text_col, words, True)
     found = written(found, "join-links")
+    release(docs.sparkSession, [x for x in scratch() if x not in before], SPENT)
     size = rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"))
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(size, both["b"] == size["key"]).groupBy("a").agg(F.sum("copies").alias("others"))
@@ -286,8 +290,11 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles (of so many words), component_id of every row."""
+    before = set(scratch())
     rows, found = search(docs, percent, id_col, text_col, words, False)
+    spent = [x for x in scratch() if x not in before]
     found = connected_components(found)
+    release(docs.sparkSession, spent, SPENT)
     keyed = rows.join(found, rows["key"] == found["v"], "left").select("doc_id", "n", F.coalesce("root", "key").alias("c"))
     least = keyed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "of")
     out = keyed.join(least, (keyed["c"] == least["of"]) & (keyed["n"] > 0), "left")

@@ -55,7 +55,7 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes))
 
 
-def document_stats(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
+def document_stats(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", carry: tuple[str, ...] = ()) -> DataFrame:
     t = F.coalesce(F.col("t"), F.lit(""))
     words = F.array_remove(F.split(t, WORD_BREAK), "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -63,15 +63,17 @@ def document_stats(docs: DataFrame, id_col="doc_id", text_col="text", host_col="
     def of_words(w):
         return F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words"))
 
-    df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("t"), docs[host_col].alias("host"))
+    carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("string")
+    df = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("t"), docs[host_col].alias("host"), carried.alias("carried"))
     return df.select(
         "doc_id",
         "host",
+        "carried",
         let(words, of_words).alias("w"),
         F.char_length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     ).select(
-        "doc_id", "host", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words",
+        "doc_id", "host", "carried", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words",
         ((F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("w.n_words"))).alias("base_failed"),
     )
 
@@ -87,12 +89,12 @@ def host_verdicts(stats: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     return hosts.withColumn("rate", rate).withColumn("host_kept", rate <= max_rate)
 
 
-def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The stats of every document, base_failed and kept."""
-    stats = written(document_stats(docs, id_col, text_col, host_col), "quality-rules")
+def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", max_rate: float = MAX_RATE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The stats of every document, base_failed and kept; and its columns named in carry, as the struct carried."""
+    stats = written(document_stats(docs, id_col, text_col, host_col, carry), "quality-rules")
     hosts = host_verdicts(stats, max_rate).select(F.col("host").alias("h"), "host_kept")
     out = stats.join(hosts, stats["host"] == hosts["h"], "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), *(["carried"] if carry else []))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

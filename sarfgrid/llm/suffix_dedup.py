@@ -112,28 +112,45 @@ def record(names, *columns):
 
 
 def chunks(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, payload): ids, lengths and bytes of some MB of documents. docs: i, t."""
+    """(chunk, payload, carried): ids, lengths and bytes of some MB of documents, and their carried column. docs: i, t, carried."""
 
     def run(batches):
-        part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, ids, texts, held, carried = TaskContext.get().partitionId(), 0, [], [], 0, []
 
         def row():
             lengths = np.array([len(t) for t in texts], np.int64)
-            return record(["chunk", "payload"], pa.array([(part << 32) + seq], pa.int64()), pa.array([pack(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(texts), np.uint8))], pa.binary()))
+            return record(["chunk", "payload", "carried"], pa.array([(part << 32) + seq], pa.int64()), pa.array([pack(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(texts), np.uint8))], pa.binary()), pa.array([to_ipc(pa.concat_arrays(carried))], pa.binary()))
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            first = 0
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)):
                 ids.append(LAST if i is None else i)
                 texts.append(t or b"")
                 held += len(texts[-1])
                 if held >= size:
+                    carried.append(b.column(2).slice(first, k + 1 - first))
                     yield row()
-                    seq, ids, texts, held = seq + 1, [], [], 0
+                    seq, ids, texts, held, carried, first = seq + 1, [], [], 0, [], k + 1
+            carried.append(b.column(2).slice(first))
         if ids:
             yield row()
         tidy()
 
-    return docs.mapInArrow(run, "chunk long, payload binary")
+    return docs.mapInArrow(run, "chunk long, payload binary, carried binary")
+
+
+def to_ipc(a: pa.Array) -> bytes:
+    if pa.types.is_struct(a.type):  # as Spark's schema texts have it
+        a = a.cast(pa.struct([f.with_nullable(True) for f in a.type]))
+    sink = pa.BufferOutputStream()
+    batch = record(["carried"], a)
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(blob: bytes) -> pa.Array:
+    return pa.ipc.open_stream(blob).read_all().column(0).combine_chunks()
 
 
 def opened(payload: bytes):
@@ -348,9 +365,10 @@ def find_spans(rows: pa.Table) -> pa.Table:
 
 def cut(key, left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
     """Chunk with its spans -> every document with what is left of it."""
-    out = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_sha256")}
+    out, carried = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}, None
     if left_rows.num_rows:
         ids, starts, ends, raw = opened(left_rows.column("payload")[0].as_py())
+        carried = from_ipc(left_rows.column("carried")[0].as_py())
         edge = np.zeros(len(raw) + 1, np.int32)
         for blob in right_rows.column("blob").to_pylist():
             doc, s, e = unpack(blob)
@@ -366,24 +384,24 @@ def cut(key, left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
             out["n_spans"].append(int((np.diff(g.astype(np.int8), prepend=0) == 1).sum()))
             out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
             out["kept"].append(left.decode(errors="ignore"))
-            out["text_sha256"].append(hashlib.sha256(raw[s:e].tobytes()).hexdigest())
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     tidy()
-    return pa.table({n: pa.array(out[n], k) for n, k in zip(out, kinds, strict=True)})
+    return pa.table({n: pa.array(out[n], k) for n, k in zip(out, kinds, strict=True)} | ({} if carried is None else {"carried": carried}))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (characters cut in half fall away) and text_sha256 (of the whole text) of every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (characters cut in half fall away) of every row, and its columns named in carry, as the struct carried."""
     small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(8, -(-total // bucket_bytes))
-    packed = written_in_buckets(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), chunk_bytes), "dedup-chunks", "chunk", max(8, -(-total // chunk_bytes)))
-    prints = packed.mapInArrow(send_prints(n), "bucket long, chunk long, blob binary")
+    packed = written_in_buckets(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), (F.struct(*carry) if carry else F.lit(0)).alias("carried")), chunk_bytes), "dedup-chunks", "chunk", max(8, -(-total // chunk_bytes)))
+    prints = packed.select("chunk", "payload").mapInArrow(send_prints(n), "bucket long, chunk long, blob binary")
     answers = prints.groupBy("bucket").applyInArrow(shared_prints, "chunk long, blob binary")
-    entries = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_surroundings(n), "bucket long, chunk long, kind int, blob binary")
+    entries = packed.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_surroundings(n), "bucket long, chunk long, kind int, blob binary")
     spans = entries.groupBy("bucket").applyInArrow(find_spans, "chunk long, blob binary")
-    return packed.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, text_sha256 string")
+    kind = docs.select(F.struct(*carry)).schema[0].dataType.simpleString() if carry else "int"
+    return packed.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, carried {kind}")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "text_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "carried")
