@@ -166,12 +166,13 @@ class Pieces:
         bare = unit.lstrip(MARK)
         return (MARK + bare if len(bare) < len(unit) else bare) if bare else ""
 
-    def unit_ids(self, unit: str, mask: int | None) -> list[int]:
+    def unit_ids(self, unit: str, mask: int | None, got: list[int] | None = None) -> list[int]:
+        """A unit's ids; got: its word's ids, if they are known."""
         word = self.word_of(unit)
         more = len(unit) - len(word)
         if not word:
             return self.run(len(unit))
-        got = self.word_ids(word, mask) if word[-1] in self.core else [i for c in word for i in self.char(c)]
+        got = got or (self.word_ids(word, mask) if word[-1] in self.core else [i for c in word for i in self.char(c)])
         if more:
             got = self.run(more + 1) + got[1:] if got[0] == self.text.get(MARK) else self.run(more) + got
         return got
@@ -257,26 +258,28 @@ def masks(words: DataFrame, table: DataFrame, longest: int, key: list[str]) -> D
 
 
 class Known:
-    """Masks of words that many chunks hold (0: no edge), opened in a worker, and there the ids of those it has met."""
+    """Masks of words that many chunks hold (0: no edge); in a worker, a word's mask gives way to its ids once it is met."""
 
     def __init__(self, words: list[str], masks: np.ndarray):
-        self.sent, self.masks, self.met = pack(np.frombuffer("\n".join(words).encode(), np.uint8), masks), None, {}
+        self.sent, self.held = pack(np.frombuffer("\n".join(words).encode(), np.uint8), masks), None
 
     def open(self) -> None:
-        if self.masks is None:
+        if self.held is None:
             words, masks = unpack(self.sent)
-            self.masks = dict(zip(words.tobytes().decode().split("\n"), masks.tolist(), strict=False))
+            self.held = dict(zip(words.tobytes().decode().split("\n"), masks.tolist(), strict=False))
 
     def ids(self, p: Pieces, unit: str, own: dict[str, int]) -> bytes:
         """A unit's ids as int32 bytes; own: masks of the words that only its chunk folds."""
-        got = self.met.get(unit)
-        if got is None:
-            word = p.word_of(unit)
-            bounded = word == unit and (word in self.masks or word in p.whole)
-            got = array("i", p.unit_ids(unit, (self.masks[word] or None) if word in self.masks else own.get(word))).tobytes()
-            if bounded:
-                self.met[unit] = got
-        return got
+        got = self.held.get(unit)
+        if isinstance(got, bytes):
+            return got
+        word = p.word_of(unit)
+        mask = self.held.get(word)
+        met = np.frombuffer(mask, np.int32).tolist() if isinstance(mask, bytes) else None  # blanks before a word that was met
+        out = array("i", p.unit_ids(unit, (mask or None) if mask is not None else own.get(word), met)).tobytes()
+        if got is not None:
+            self.held[unit] = out
+        return out
 
 
 def known_words(lines: DataFrame, limit: int) -> DataFrame:
