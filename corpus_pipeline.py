@@ -26,6 +26,8 @@ from sarfgrid.llm.sentencepiece_lattice import encode
 from sarfgrid.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Smaller chunks and fewer known words than op10 takes: executors still hold the earlier stages' memory.
+CHUNK_BYTES, KNOWN = 2_500_000, 1 << 17
 #: Near copies: shingles of so many words, and the least Jaccard similarity of their sets.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -98,7 +100,7 @@ def pieces(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding gave the text back."""
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids", "ids_sha256", "round_trip", "decoded_sha256")
+    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), size=CHUNK_BYTES, known=KNOWN).select("doc_id", "n_pieces", "ids", "ids_sha256", "round_trip", "decoded_sha256")
 
 
 STAGES = [
