@@ -30,6 +30,11 @@ def strip_diacritics(c: Column) -> Column:
     return F.regexp_replace(c, STRIPPED, "")
 
 
+def strip_key(c: Column) -> Column:
+    """Without marks and tatweel: the bare key of closed-class catalogues."""
+    return F.regexp_replace(c, f"[\u064b-\u0670{TATWEEL}]", "")
+
+
 def normalize_hamza(c: Column) -> Column:
     """Carriers of hamza become hamza; alef with madda becomes hamza, fatha, alef."""
     return F.replace(F.translate(c, "أإؤئ", "ءءءء"), F.lit("آ"), F.lit("ء" + FATHA + "ا"))

@@ -47,6 +47,17 @@ def licensed(phone: Column) -> Column:
     return phone.rlike(f"^{ar.LETTER}{ar.MARK}*$") & (vowels <= 1) & ~((vowels == 1) & phone.contains(ar.SUKUN))
 
 
+def marks_fit(given: Column, candidate: Column) -> Column:
+    """Same letters in order, and each letter's given marks are the candidate's; sukun on a long vowel letter equals no mark."""
+    pairs = lambda c: F.regexp_extract_all(c, F.lit("[^\u064b-\u065f\u0670][\u064b-\u065f\u0670]*"), 0)
+
+    def fits(g, c):
+        gm, cm, same = F.substr(g, F.lit(2)), F.substr(c, F.lit(2)), F.left(g, F.lit(1)) == F.left(c, F.lit(1))
+        return same & ((gm == "") | (gm == cm) | ((gm == ar.SUKUN) & (cm == "") & F.left(g, F.lit(1)).isin("ي", "و")))
+
+    return (F.size(pairs(given)) == F.size(pairs(candidate))) & ~F.exists(F.zip_with(pairs(given), pairs(candidate), lambda g, c: ~F.coalesce(fits(g, c), F.lit(False))), lambda x: x)
+
+
 def marks_compatible(given: Column, catalogue: Column) -> Column:
     """Same letters, and every mark that is given stands in the catalogue's form: a multiset containment."""
     count = lambda c, m: F.length(c) - F.length(F.replace(c, F.lit(m), F.lit("")))

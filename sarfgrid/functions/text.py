@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SPACE = r"[ \t\n\x0b\x0c\r]+"
+#: Unicode white space.
+SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def to_lowercase(c: Column) -> Column:
@@ -30,7 +31,7 @@ def remove_html_tags(c: Column) -> Column:
 
 
 def remove_numbers(c: Column) -> Column:
-    return F.regexp_replace(c, r"[0-9]+", "")
+    return F.regexp_replace(c, r"\p{Nd}+", "")
 
 
 def clean(c: Column, lowercase=True, remove_punct=True, remove_nums=False, remove_links=True, remove_html=True) -> Column:
@@ -46,7 +47,7 @@ def word_tokenize(c: Column) -> Column:
 
 def sentence_tokenize(c: Column) -> Column:
     """Cut behind . ! ? where white space follows; blanks at the ends go, empty sentences too."""
-    return F.filter(F.split(F.trim(c), r"(?<=[.!?])[ \t\n\x0b\x0c\r]+"), lambda s: s != "")
+    return F.filter(F.split(F.trim(c), "(?<=[.!?])" + SPACE), lambda s: s != "")
 
 
 def strip_punct(c: Column, marks: str) -> Column:

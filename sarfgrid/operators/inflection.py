@@ -42,10 +42,10 @@ def cells(past_vowel: str, imperfect_vowel: str) -> list[tuple[str, ...]]:
     return out
 
 
-def conjugate(roots: DataFrame, past_vowel: str, imperfect_vowel: str) -> DataFrame:
+def conjugate(roots: DataFrame, past_vowel: str, imperfect_vowel: str, tenses: tuple[str, ...] = ("PAST", "IMPERFECT")) -> DataFrame:
     """root, tense, mood, voice, person, number, gender, form of every sound root."""
     names = ["tense", "mood", "voice", "person", "number", "gender", "pre", "first", "second", "ending"]
-    t = F.explode(F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, row, strict=True)]) for row in cells(past_vowel, imperfect_vowel)]))
+    t = F.explode(F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, row, strict=True)]) for row in cells(past_vowel, imperfect_vowel) if row[0] in tenses]))
     df = roots.select("root", t.alias("t")).select("root", "t.*")
     c = [F.substring("root", k, 1) for k in (1, 2, 3)]
     return df.select("root", *names[:6], F.concat("pre", c[0], "first", c[1], "second", c[2], "ending").alias("form"))

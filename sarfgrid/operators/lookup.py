@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arabic import strip_diacritics
+from ..functions import glyphs
+from ..functions.arabic import nfc, strip_diacritics, strip_key
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,3 +33,55 @@ def longest_affix(c, affixes: list[str], least_rest: int, end: bool):
         hit = (c.endswith(a) if end else c.startswith(a)) & (F.length(c) - len(a) >= least_rest)
         out = F.when(hit, a).otherwise(out)
     return out
+
+
+def closed_class(words: DataFrame, by_vocalized: DataFrame, by_bare: DataFrame) -> DataFrame:
+    """words (surface, verdict) with the catalogue's row under three-valued verdicts: a match never lifts a verdict.
+
+    MABNI_BLOCKED where the word is blocked (the catalogue is not asked), MABNI_BOUNDARY and
+    MABNI_DEFERRED on a match, else MABNI_NOT_FOUND. The vocalised key is tried first; the
+    bare key only where no given mark contradicts the catalogue's. Catalogues are small and
+    are sent to all tasks by their size; null and blank words are not found.
+    """
+    kept = ["mabni_id", "surface_kind", "lexical_class", "lexical_family", "blocks_root_path", "contract_state", "source_file", "surface_vocalized"]
+    row = lambda df, key, name: df.select(F.col(key).alias(f"k_{name}"), F.struct(*kept).alias(name))
+    w = words.withColumn("k", F.when(F.trim("surface") != "", nfc(F.col("surface")))).withColumn("kb", strip_key(F.col("k")))
+    j = w.join(row(by_vocalized, "key_v", "v"), F.col("k") == F.col("k_v"), "left").join(row(by_bare, "key_b", "b"), F.col("kb") == F.col("k_b"), "left")
+    hit = F.when(F.col("v").isNotNull(), F.col("v")).when(F.col("b").isNotNull() & glyphs.marks_fit(F.col("k"), F.col("b")["surface_vocalized"]), F.col("b"))
+    j = j.withColumn("hit", F.when(F.col("verdict") != "BLOCK", hit))
+    found = F.col("hit").isNotNull()
+    mabni = F.when(F.col("verdict") == "BLOCK", "MABNI_BLOCKED").when(found & (F.col("verdict") == "ACCEPT"), "MABNI_BOUNDARY").when(found, "MABNI_DEFERRED").otherwise("MABNI_NOT_FOUND")
+    blocks = found & (F.lower(F.coalesce(F.col("hit.blocks_root_path"), F.lit("true"))) == "true")
+    return j.select(*words.columns, mabni.alias("mabni_verdict"), "hit.mabni_id", "hit.surface_kind", "hit.lexical_class", "hit.lexical_family", blocks.alias("blocks_root_path"), "hit.contract_state", F.col("hit.surface_vocalized").alias("matched_surface"), "hit.source_file")
+
+
+def by_key(rows: DataFrame, catalogue: DataFrame, keys: dict[str, str], how: str = "left") -> DataFrame:
+    """rows beside the catalogue's entries of equal keys (row's column -> entry's column), entries as the struct entry.
+
+    One operator for every look-up by id: verb classes by pattern or by both vowels, verbal
+    nouns by verb class, derivatives by pattern family, rules by form family. Null keys match
+    nothing; several entries give several rows; clashing names stay apart in the struct.
+    """
+    c = catalogue.select(*[F.col(e).alias(f"_key{n}") for n, e in enumerate(keys.values())], F.struct(*catalogue.columns).alias("entry"))
+    on = [rows[r] == c[f"_key{n}"] for n, r in enumerate(keys)]
+    return rows.join(c, on, how).drop(*[f"_key{n}" for n in range(len(keys))])
+
+
+def one_entry(rows: DataFrame, catalogue: DataFrame, keys: dict[str, str], order: str) -> DataFrame:
+    """by_key with at most one entry a key, that of the least order."""
+    rest = [c for c in catalogue.columns if c not in keys.values()]
+    single = catalogue.groupBy(*keys.values()).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys.values(), "r.*")
+    return by_key(rows, single, keys)
+
+
+def rules_for(rules: DataFrame, form_family: str, **equal: str) -> DataFrame:
+    """Rules that name a form family among theirs (or name none), and equal the given fields."""
+    out = rules.where(F.array_contains("form_families", form_family) | (F.coalesce(F.size("form_families"), F.lit(0)) <= 0))
+    for c, v in equal.items():
+        out = out.where(F.col(c) == v)
+    return out
+
+
+def inventory_stats(catalogue: DataFrame, group: str) -> DataFrame:
+    """group, rows, surfaces (distinct vocalised) of a catalogue."""
+    return catalogue.groupBy(group).agg(F.count("*").alias("rows"), F.count_distinct("surface_vocalized").alias("surfaces"))

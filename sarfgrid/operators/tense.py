@@ -15,23 +15,39 @@ def drop_conjunction(c: Column) -> Column:
     return F.when((F.length(c) >= 4) & c.rlike(f"^[وف]{ar.FATHA}"), F.substr(c, F.lit(3))).otherwise(c)
 
 
+#: Bare endings of the past that a long word with a prefix letter may have.
+PAST_ENDS = ["تم", "تما", "تن", "نا", "تا"]
+
+
 def is_imperfect(c: Column) -> Column:
-    """A prefix letter with a vowel, then: sukun behind fatha, or damma, or a doubled third letter, or a hollow middle."""
+    """A prefix letter with a vowel, then: sukun behind fatha, damma, a doubled letter (written once or twice), a hollow middle, or five letters without a past ending."""
     s, m = drop_conjunction(c), f"{ar.MARK}*"
-    letter = f"{ar.LETTER}{m}"
-    three = s.rlike(f"^{letter}{letter}{letter}")
+    letter, bare = f"{ar.LETTER}{m}", ar.strip_diacritics(s)
     fatha, damma = s.rlike(f"^[{PREFIXES}]{m}{ar.FATHA}"), s.rlike(f"^[{PREFIXES}]{m}{ar.DAMMA}")
     second_sukun = s.rlike(f"^{letter}{ar.LETTER}{m}{ar.SUKUN}")
     third_double = s.rlike(f"^{letter}{letter}{ar.LETTER}{m}{ar.SHADDA}")
     hollow = s.rlike(f"^{letter}{ar.LETTER}{m}[{ar.DAMMA}{ar.KASRA}]{m}[ويا]{m}{ar.LETTER}")
-    return three & ((fatha & second_sukun) | damma | (fatha & third_double) | (fatha & hollow))
+    four = s.rlike(f"^{letter}{letter}{letter}{letter}")
+    twice = s.rlike(f"^{letter}(?:{letter})*({ar.LETTER}){m}{ar.SUKUN}{m}\\1")
+    past = bare.endswith("وا") | (~bare.endswith("ونا") & bare.rlike("(" + "|".join(PAST_ENDS) + ")$"))
+    longer = fatha & four & ~past & (F.length(bare) >= 5) & s.rlike("^[يتن]")
+    return s.rlike(f"^{letter}{letter}{letter}") & ((fatha & second_sukun) | damma | (fatha & third_double) | (fatha & hollow) | ((fatha | damma) & four & twice) | longer)
 
 
 def tense(c: Column) -> Column:
     """IMPERFECT, IMPERATIVE or PAST; past is what nothing else claims, null what is empty."""
     s, m = drop_conjunction(c), f"{ar.MARK}*"
-    imperative = s.rlike(f"^[اٱ]{m}[^ل{ar.MARKS}]{m}{ar.SUKUN}{m}{ar.LETTER}") & ~(ar.strip_diacritics(s).endswith("ان") & (F.length(ar.strip_diacritics(s)) > 4))
-    return F.when(c == "", None).when(is_imperfect(c), "IMPERFECT").when(imperative, "IMPERATIVE").otherwise("PAST")
+    letter, bare = f"{ar.LETTER}{m}", ar.strip_diacritics(s)
+    lam = (F.length(s) >= 4) & s.rlike(f"^ل{ar.SUKUN}")
+    fourth = s.rlike(f"^[ءأ]{m}{ar.FATHA}") & s.rlike(f"^{letter}{ar.LETTER}{m}{ar.SUKUN}") & bare.endswith("وا")
+    imperative = s.rlike(f"^[اٱ]{m}[^ل{ar.MARKS}]{m}{ar.SUKUN}{m}{ar.LETTER}") & ~(bare.endswith("ان") & (F.length(bare) > 4))
+    eighth = s.rlike(f"^[اٱ]{m}{ar.LETTER}{m}{ar.SHADDA}{m}{ar.LETTER}{m}{ar.DAMMA}{m}{ar.LETTER}")
+    return F.when(c == "", None).when(lam, "IMPERFECT").when(fourth, "IMPERATIVE").when(is_imperfect(c), "IMPERFECT").when(imperative | eighth, "IMPERATIVE").otherwise("PAST")
+
+
+def sentence_tense(c: Column) -> Column:
+    """tense() of the last word."""
+    return tense(F.element_at(F.split(F.trim(c), " +"), -1))
 
 
 def person_of_prefix(c: Column) -> Column:

@@ -23,7 +23,8 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def arabic_vocabulary(docs: DataFrame) -> DataFrame:
     """surface, n: distinct transliterated a-z words that begin with a letter. Rules run on these rows, not on every token."""
     w = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    s = w.select(ar.transliterate(F.col("w")).alias("surface"), "n")
+    # the count stands in the surface, so that no rule on it is pushed below the aggregate, to every token
+    s = w.select(F.when(F.col("n") > 0, ar.transliterate(F.col("w"))).alias("surface"), "n")
     return s.where(F.col("surface").rlike("^" + ar.LETTER))
 
 
