@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arabic as ar
-from ..operators import lookup, realization, segmentation, tense
+from ..operators import eligibility, lookup, radicals, realization, segmentation, tense
 from ..sources import catalogs
 from . import sql
 
@@ -170,3 +170,47 @@ def lookup_by_wazn_id(spark, sf_dir):
 def lookup_by_vowels(spark, sf_dir):
     words = spark.createDataFrame([("a", "u"), ("i", "a"), ("u", "a")], "p string, i string")
     return lookup.by_key(words, spark.createDataFrame(ABWAB, _ABWAB), {"p": "past_ayn_vowel", "i": "imperfect_ayn_vowel"}).select("p", "i", "entry.bab_id")
+
+
+# Host, directive so far; directive, root, residual, type.
+ROOTS = [
+    ("كَتَبَ", "OPEN", "ACCEPT", "كتب", None, "sound"), ("شَدَّ", "OPEN", "ACCEPT", "شدد", None, "geminate"), ("قَرَأَ", "OPEN", "ACCEPT", "قرء", None, "hamza"), ("كَتَبَ", "DEFER", "DEFER", None, "defer:root:pre_root_directive_defer", None), ("كَتَبَ", "BLOCK", "BLOCK", None, "block:root:pre_root_directive_block", None),
+    ("قَالَ", "OPEN", "DEFER", None, "defer:root:hollow_underlying_radical_unresolved", None), ("رَمَى", "OPEN", "DEFER", None, "defer:root:defective_lam_unresolved", None), ("وَعَدَ", "OPEN", "DEFER", None, "defer:root:assimilated_fa_unresolved", None), ("وَقَى", "OPEN", "DEFER", None, "defer:root:lafif_mafruq_unresolved", None), ("طَوَى", "OPEN", "DEFER", None, "defer:root:lafif_maqrun_unresolved", None),
+    ("قُلْ", "OPEN", "DEFER", None, "defer:root:two_consonant_form_unresolved", None), ("دَحْرَجَ", "OPEN", "DEFER", None, "defer:root:quadriliteral_beyond_scope", None), ("بِ", "OPEN", "BLOCK", None, "block:root:insufficient_consonants", None),
+]
+
+
+@case(f"SELECT * FROM {sql.values(ROOTS, 'host, pre_root, directive, root, residual, root_type')} AS t")
+def resolve_root(spark, sf_dir):
+    d = spark.createDataFrame([r[:2] for r in ROOTS], "host string, pre_root string").withColumn("x", radicals.resolve_root(F.col("host"), F.col("pre_root")))
+    return d.select("host", "pre_root", "x.directive", "x.root", "x.residual", "x.root_type")
+
+
+# Host, verbal path; directive, prefix, suffix, form family, roots.
+ACCOUNTS = [
+    ("يَكْتُبُ", True, "ACCEPT", "يَ", None, "FORM_I_IMPERFECT", "كتب"), ("تَكْتُبُ", True, "ACCEPT", "تَ", None, "FORM_I_IMPERFECT", "كتب"), ("تَكْتُبُو", True, "ACCEPT", "تَ", "و", "FORM_I_IMPERFECT", "كتب"), ("تَسْأَمُوا", True, "ACCEPT", "تَ", "وا", "FORM_I_IMPERFECT", "سءم"), ("تَفْعَلُوا", True, "ACCEPT", "تَ", "وا", "FORM_I_IMPERFECT", "فعل"),
+    ("يَذْهَبُ", True, "ACCEPT", "يَ", None, "FORM_I_IMPERFECT", "ذهب"), ("يَشُدُّ", True, "ACCEPT", "يَ", None, "FORM_I_IMPERFECT", "شدد"), ("يَمُدُّ", True, "ACCEPT", "يَ", None, "FORM_I_IMPERFECT", "مدد"), ("تَشُكُّوا", True, "ACCEPT", "تَ", "وا", "FORM_I_IMPERFECT", "شكك"), ("تُدِيرُ", True, "ACCEPT", "تُ", None, "FORM_IV", "دور"),
+    ("يَقُولُ", True, "DEFER", "يَ", None, "FORM_I_IMPERFECT", ""), ("قُلْ", True, "DEFER", None, None, None, "قول قيل"), ("بِعْ", True, "DEFER", None, None, None, "بيع بوع"), ("اكْتُبُوا", True, "ACCEPT", None, "وا", "FORM_I", "كتب"), ("نَوْمِ", False, "DEFER", None, None, None, ""),
+]
+
+
+@case(f"SELECT * FROM {sql.values(ACCOUNTS, 'host, verbal, directive, prefix, suffix, form_family, roots')} AS t")
+def radical_accounting(spark, sf_dir):
+    d = spark.createDataFrame([r[:2] for r in ACCOUNTS], "host string, verbal boolean").withColumn("x", radicals.account(F.col("host"), F.lit("OPEN"), F.col("verbal")))
+    return d.select("host", "verbal", "x.directive", "x.prefix", "x.suffix", "x.form_family", F.array_join("x.roots", " ").alias("roots"))
+
+
+# Kind, pattern, verb class, root class; directive and reason, with the transitivity that the verb class states.
+DERIVABLE = [
+    ("ISM_FA3IL", "FA_A_LA", "BAB_I_NASARA", "SOUND", "ACCEPT", "fa3il_unconstrained"), ("ISM_FA3IL", "FA3L", None, "SOUND", "NOT_APPLICABLE", "nominal_wazn"), ("ISM_FA3IL", None, None, "SOUND", "DEFER", "wazn_family_unknown"), ("ISM_MAF3UL", "FA_A_LA", "BAB_I_NASARA", "SOUND", "DEFER", "transitivity_unknown"), ("ISM_MAF3UL", "FA33ALA", "BAB_FORM_II", "SOUND", "ACCEPT", "mazid_structural_maf3ul"),
+    ("ISM_MAF3UL", "FA_A_LA", "BAB_FORM_II", "SOUND", "ACCEPT", "transitive_verb"), ("ISM_MAF3UL", "FA_A_LA", "BAB_FORM_V", "SOUND", "BLOCK", "intransitive_verb"), ("SIFA_MUSHABBAHA", "FA33ALA", "BAB_FORM_II", "SOUND", "NOT_APPLICABLE", "augmented_not_standard_for_sifa"), ("SIFA_MUSHABBAHA", "FA_A_LA", "BAB_FORM_IV", "SOUND", "BLOCK", "transitive_verb"), ("SIYAG_MUBALAGHAH", "FA_A_LA", None, "SOUND", "ACCEPT", "verbal_root_form_i"),
+    ("ISM_ZAMAN", "AF3AL", None, "SOUND", "DEFER", "augmented_ism_zaman_masdar_based"), ("ISM_MAKAN", "FA_A_LA", None, "SOUND", "ACCEPT", "verbal_wazn_form_i"), ("ISM_ALA", "FA_A_LA", None, "SOUND", "DEFER", "transitivity_unknown"), ("ISM_ALA", "FA_A_LA", "BAB_FORM_VII", "SOUND", "DEFER", "intransitive_ism_ala_unusual"),
+    ("TAFDHIL", "FA_A_LA", "BAB_I_NASARA", "SOUND", "ACCEPT", "mujarrad_tafdhil_eligible"), ("TAFDHIL", "FA_A_LA", "BAB_I_NASARA", "HOLLOW", "NOT_APPLICABLE", "root_class_incompatible:HOLLOW"), ("TAFDHIL", "FA_A_LA", None, "SOUND", "DEFER", "bab_unknown_tafdhil_ambiguous"), ("TAFDHIL", "FA_A_LA", None, "UNKNOWN", "DEFER", "root_class_ambiguous"), ("OTHER", "FA_A_LA", None, "SOUND", "DEFER", "unknown_mushtaq_type:OTHER"),
+]
+
+
+@case(f"SELECT * FROM {sql.values(DERIVABLE, 'kind, wazn_id, bab_id, root_class, directive, reason')} AS t")
+def derivative_eligibility(spark, sf_dir):
+    d = spark.createDataFrame([r[:4] for r in DERIVABLE], "kind string, wazn_id string, bab_id string, root_class string")
+    x = eligibility.eligible(F.col("kind"), eligibility.family_of(F.col("wazn_id")), F.col("bab_id"), eligibility.transitivity_of(F.col("bab_id")), F.col("root_class"))
+    return d.withColumn("x", x).select("kind", "wazn_id", "bab_id", "root_class", "x.directive", "x.reason")
