@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontamination, jaccard_join, language_id, quality_model, quality_rules, sentencepiece_lattice, suffix_dedup, token_counts, toxicity, url_filters
 
+
+
+def pipeline(spark, sf_dir: str):
+    """The stages of corpus_pipeline.py, imported when they run: the operators stand without it."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality_classifier": quality_model.op2_quality_classifier,
@@ -17,10 +24,8 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_sentencepiece": sentencepiece_lattice.op10_sentencepiece,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
