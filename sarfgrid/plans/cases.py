@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arabic as ar
-from ..operators import eligibility, lookup, radicals, realization, segmentation, tense
+from ..operators import claims, eligibility, lookup, radicals, realization, segmentation, tense
 from ..sources import catalogs
 from . import sql
 
@@ -214,3 +214,35 @@ def derivative_eligibility(spark, sf_dir):
     d = spark.createDataFrame([r[:4] for r in DERIVABLE], "kind string, wazn_id string, bab_id string, root_class string")
     x = eligibility.eligible(F.col("kind"), eligibility.family_of(F.col("wazn_id")), F.col("bab_id"), eligibility.transitivity_of(F.col("bab_id")), F.col("root_class"))
     return d.withColumn("x", x).select("kind", "wazn_id", "bab_id", "root_class", "x.directive", "x.reason")
+
+
+# Article, assimilation, boundary, word class, clitics alone; states and values of the five slots.
+CLAIMS = [
+    (True, True, None, "ISM", False, "FILLED FILLED NOT_APPLICABLE FILLED FILLED", "AL SOLAR - OPEN_MORPHOLOGY ISM"), (True, False, None, "ISM", False, "FILLED NOT_APPLICABLE NOT_APPLICABLE FILLED FILLED", "AL - - OPEN_MORPHOLOGY ISM"), (False, True, None, None, False, "NOT_APPLICABLE NOT_APPLICABLE NOT_APPLICABLE FILLED UNKNOWN", "- - - OPEN_MORPHOLOGY -"),
+    (None, None, "MABNI_BOUNDARY", "ISM", False, "NOT_APPLICABLE NOT_APPLICABLE FILLED BLOCKED FILLED", "- - MABNI_BOUNDARY ROOT_PATH_BLOCKED ISM"), (None, None, None, "OPERATOR", False, "NOT_APPLICABLE NOT_APPLICABLE FILLED BLOCKED FILLED", "- - OPERATOR_BOUNDARY ROOT_PATH_BLOCKED OPERATOR"), (None, None, "JAMID_AALAM_BOUNDARY", "", None, "NOT_APPLICABLE NOT_APPLICABLE FILLED BLOCKED UNKNOWN", "- - JAMID_AALAM_BOUNDARY ROOT_PATH_BLOCKED -"), (None, None, None, None, True, "NOT_APPLICABLE NOT_APPLICABLE NOT_APPLICABLE BLOCKED UNKNOWN", "- - - ROOT_PATH_BLOCKED -"),
+]
+
+
+@case(f"SELECT row_number() OVER () AS nr, states, vals FROM {sql.values([(str(k), r[5], r[6]) for k, r in enumerate(CLAIMS)], 'k, states, vals')} AS t")
+def claim_slots(spark, sf_dir):
+    """Article, boundary and word class slots of a result row, in order."""
+    d = spark.createDataFrame([(k + 1, *r[:5]) for k, r in enumerate(CLAIMS)], "nr long, has_article boolean, solar boolean, boundary string, word_class string, clitic_only boolean")
+    every = F.concat(claims.article_slots(F.col("has_article"), F.col("solar")), claims.boundary_slots(F.col("boundary"), F.col("word_class"), F.col("clitic_only")), F.array(claims.word_class_slot(F.col("word_class"))))
+    d = d.select("nr", every.alias("s"))
+    return d.select("nr", F.array_join(F.transform("s", lambda x: x["state"]), " ").alias("states"), F.array_join(F.transform("s", lambda x: F.coalesce(x["value"], F.lit("-"))), " ").alias("vals"))
+
+
+@case("SELECT * FROM (VALUES ('ك-ت-ب', 'ك,ت,ب'), ('ك ت ب', 'ك,ت,ب'), ('كتب', 'ك,ت,ب'), ('', ''), (NULL, NULL)) AS t(root, parts)")
+def parse_root_string(spark, sf_dir):
+    d = spark.createDataFrame([("ك-ت-ب",), ("ك ت ب",), ("كتب",), ("",), (None,)], "root string")
+    return d.select("root", F.array_join(claims.root_parts(F.col("root")), ",").alias("parts"))
+
+
+# Host; both roots of a word of two letters.
+COMPRESSED = [("قُلْ", "قول,قيل"), ("بِعْ", "بيع,بوع"), ("خَفْ", None), ("كَتَبَ", None), (None, None)]
+
+
+@case(f"SELECT * FROM {sql.values(COMPRESSED, 'host, roots')} AS t")
+def compressed_roots(spark, sf_dir):
+    d = spark.createDataFrame([(r[0],) for r in COMPRESSED], "host string")
+    return d.select("host", F.array_join(radicals.compressed_candidates(F.col("host")), ",").alias("roots"))
