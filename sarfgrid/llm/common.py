@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with texts of 100 kB a batch stays near 50 MB.
-ARROW_ROWS = 500
+#: Rows and bytes of one Arrow batch, at most (one text may be longer).
+ARROW_ROWS, ARROW_BYTES = 500, 32_000_000
 #: What the word contracts call white space: blank, and tab to carriage return.
 WS = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -23,6 +23,7 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of texts that fit a worker beside its other work."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def tidy() -> None:
