@@ -58,3 +58,60 @@ def test_quality_held_out_accuracy(spark):
     docs = spark.createDataFrame([(1, None, 3), (None, "", 4)], "doc_id long, text string, score int")
     out = qm.score_quality(docs, qm.train(docs, spark.createDataFrame([], "doc_id long, quality int"))).collect()
     assert [r.score for r in out] == [0.5, 0.5]
+
+
+def naive_scores(x, y, trees):
+    """Boosting by the definition: every split tried row by row, every tree walked node by node."""
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, qm.BINS + 1)[1:-1]).tolist())) for c in x.T]
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    z = [float(np.log(p / (1 - p)))] * len(y)
+
+    def gain(rows, g, h):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + qm.RIDGE)
+
+    def grow(rows, depth, g, h):
+        if depth == qm.DEPTH:
+            return -qm.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + qm.RIDGE)
+        best, split = 1e-9, None
+        for f, edges in enumerate(cuts):
+            for e in edges:
+                low, high = [i for i in rows if x[i, f] <= e], [i for i in rows if x[i, f] > e]
+                if min(len(low), len(high)) >= qm.LEAST:
+                    got = gain(low, g, h) + gain(high, g, h) - gain(rows, g, h)
+                    if got > best + 1e-12:
+                        best, split = got, (f, e, low, high)
+        if split is None:
+            return None, None, grow(rows, depth + 1, g, h), None
+        f, e, low, high = split
+        return f, e, grow(low, depth + 1, g, h), grow(high, depth + 1, g, h)
+
+    def walk(node, row):
+        while isinstance(node, tuple):
+            f, e, low, high = node
+            node = low if f is None or row[f] <= e else high
+        return node
+
+    for _ in range(trees):
+        q = [1 / (1 + np.exp(-v)) for v in z]
+        tree = grow(list(range(len(y))), 0, [a - b for a, b in zip(q, y)], [a * (1 - a) for a in q])
+        z = [v + walk(tree, row) for v, row in zip(z, x)]
+    return 1 / (1 + np.exp(-np.array(z)))
+
+
+def test_trees_equal_the_naive_search_and_walk(monkeypatch):
+    monkeypatch.setattr(qm, "TREES", 3)
+    monkeypatch.setattr(qm, "BINS", 9)
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        x = np.round(rng.normal(size=(150, 3)), 2)
+        y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=150) * 0.3) > 0).astype(float)
+        assert np.allclose(qm.BoostedTrees.fit(x, y).score(x), naive_scores(x, y, 3), atol=1e-9)
+
+
+def test_empty_documents_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert qm.score_quality(none, qm.train(none, labels)).count() == 0
+    same = spark.createDataFrame([(1, "a b c", 7), (1, "a b c", 8), (2, "", 9)], "doc_id long, text string, predicted int")
+    got = qm.score_quality(same, qm.train(same, labels)).collect()
+    assert len(got) == 3 and len({r.score for r in got if r.doc_id == 1}) == 1
