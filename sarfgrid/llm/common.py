@@ -26,6 +26,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def beside(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    """A session of the same application with these settings besides spark's; spark keeps its own."""
+    out = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for k, v in conf.items():
+        out.conf.set(k, v)
+    return out
+
+
 def tidy() -> None:
     """Give a worker's freed memory back to the system: workers live on, beside those of the next stage."""
     pa.default_memory_pool().release_unused()
@@ -110,12 +118,12 @@ def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = b - a
     return np.repeat(a - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum()), n
 
-def written_in_buckets(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """As written(), but in n hash buckets of key: later work by key needs no shuffle of these rows."""
+def written_in_buckets(df: DataFrame, label: str, key: str, n: int, reader: SparkSession | None = None) -> DataFrame:
+    """As written(), but in n hash buckets of key: later work by key needs no shuffle of these rows. reader: the session that reads them, if another."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     n = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))  # beyond, a bucket holds several keys' rows
     path = f"{shared_dir(spark)}/{name}"
     _scratch[path] = name
     df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return (reader or spark).table(name)

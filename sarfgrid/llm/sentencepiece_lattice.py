@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread, table, tidy, written, written_in_buckets
+from .common import beside, small_batches, spread, table, tidy, written, written_in_buckets
 from .suffix_dedup import pack, unpack
 
 MARK = "▁"
@@ -232,18 +232,18 @@ def piece_table(spark, p: Pieces) -> DataFrame:
     return spark.createDataFrame(list(enumerate(p.edges)), "rank int, piece string")
 
 
-def fold(edges: Column, n: Column) -> Column:
-    """Mask of the boundaries that are left in a word of n characters. edges: (rank * 64 + start) * 64 + end, sorted."""
+def fold(edges: Column) -> Column:
+    """Mask of the boundaries that are left in a word. edges: ((rank * 64 + start) * 64 + end) * 64 + the word's characters, sorted, one at least."""
     one = F.lit(1).cast("long")
     bit = lambda k: F.call_function("shiftleft", one, k)
 
     def step(mask, x):
-        end, start = x.bitwiseAND(F.lit(63)).cast("int"), F.shiftright(x, 6).bitwiseAND(F.lit(63)).cast("int")
+        end, start = (F.shiftright(x, k).bitwiseAND(F.lit(63)).cast("int") for k in (6, 12))
         inside = (bit(end) - bit(start + 1)).bitwiseAND(mask)
         take = (mask.bitwiseAND(bit(start)) != 0) & (mask.bitwiseAND(bit(end)) != 0) & (F.bit_count(inside) == 1)
         return F.when(take, mask.bitwiseXOR(inside)).otherwise(mask)
 
-    return F.aggregate(edges, bit(n.cast("int") + 1) - one, step)
+    return F.aggregate(edges, bit(edges[0].bitwiseAND(F.lit(63)).cast("int") + 1) - one, step)
 
 
 def masks(words: DataFrame, table: DataFrame, longest: int, key: list[str]) -> DataFrame:
@@ -252,9 +252,9 @@ def masks(words: DataFrame, table: DataFrame, longest: int, key: list[str]) -> D
     at = at.withColumn("l", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("n") - F.col("s")))))
     sub = at.select(*key, "n", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("of", F.col("s") + 1, F.col("l")).alias("sub"))
     edges = sub.join(F.broadcast(table), sub["sub"] == table["piece"])  # the vocabulary
-    edge = (F.col("rank").cast("long") * 64 + F.col("s")) * 64 + F.col("e")
-    lattice = edges.groupBy(*key).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    return lattice.select(*key, fold(F.col("edges"), F.col("n")).alias("mask"))
+    edge = ((F.col("rank").cast("long") * 64 + F.col("s")) * 64 + F.col("e")) * 64 + F.col("n")
+    lattice = edges.select(*key, edge.alias("edge")).groupBy(*key).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    return lattice.select(*key, fold(F.col("edges")).alias("mask"))
 
 
 class Known:
@@ -295,10 +295,10 @@ def known_words(lines: DataFrame, limit: int) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_BYTES, keep_ids: bool = True, known: int = KNOWN) -> DataFrame:
     """doc_id, n_pieces, ids (on demand), ids_sha256 (of little-endian int32) and round_trip, decoded_sha256 of every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
+    spark = beside(docs.sparkSession, {"spark.sql.execution.useObjectHashAggregateExec": "false"})  # edges are sorted by word once, not gathered, spilled and sorted
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    packed = written_in_buckets(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), path, size), "piece-chunks", "chunk", max(8, -(-total // size)))
+    packed = written_in_buckets(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), path, size), "piece-chunks", "chunk", max(8, -(-total // size)), spark)
     p = pieces(path)
     vocabulary = piece_table(spark, p)
     lines = packed.where("words <> ''").select(F.col("chunk").alias("c"), "words")
