@@ -188,12 +188,20 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+class Numbers(dict):
+    """Numbers of keys in order of their first sight."""
+
+    def __missing__(self, key) -> int:
+        self[key] = out = len(self)
+        return out
+
+
 def chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
     """(chunk, payload, words): documents as numbers of units, the distinct units, and the words to fold, by lines."""
 
     def run(batches):
         p, part, seq = pieces(path), TaskContext.get().partitionId(), 0
-        units: dict[str, int] = {}
+        units = Numbers()
         ids, n_units, numbers, held = [], [], [], 0
 
         def row():
@@ -211,10 +219,10 @@ def chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine = [units.setdefault(u, len(units)) for u in p.split(t or "")]
+                mine = p.split(t or "")
                 ids.append(i)
                 n_units.append(len(mine))
-                numbers.append(np.array(mine, np.uint32))
+                numbers.append(np.fromiter(map(units.__getitem__, mine), np.uint32, len(mine)))
                 held += len(t or "")
                 if held >= size:
                     yield row()
