@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,10 @@ MASK_CHARS = 60
 CHUNK_BYTES = 4_000_000
 #: Words that are folded once a corpus, at most; and steps of a doubling in which their least count is sought.
 KNOWN, STEPS = 1 << 18, 16
-#: Units of a text that are composed at once.
-SLAB = 1_000_000
+#: Units of a text that are composed at once, and units that a chunk holds as Python strings.
+SLAB, HELD = 1_000_000, 200_000
+#: Masks whose cuts a worker remembers.
+CUTS = 1 << 16
 
 
 class Pieces:
@@ -80,6 +83,8 @@ class Pieces:
         self.rank = {p: k for k, p in enumerate(order)}
         self.edges = self.prove(order)
         self.whole = set(self.edges)
+        self.raw = {t: array("i", [i]).tobytes() for t, i in self.text.items()}
+        self.cuts: dict[int, list[slice]] = {}
         self.units = self._units()
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.size = np.array([len(b) for b in self.bytes], np.int64)
@@ -158,14 +163,38 @@ class Pieces:
             a, mask = a + step, mask >> step
         return out
 
+    def cut(self, mask: int) -> list[slice]:
+        """Where a mask cuts its word; words of one shape share it."""
+        got = self.cuts.get(mask)
+        if got is None:
+            at = [k for k in range(mask.bit_length()) if mask >> k & 1]
+            got = [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+            if len(self.cuts) >= CUTS:
+                self.cuts.clear()
+            self.cuts[mask] = got
+        return got
+
     def split(self, text: str) -> list[str]:
         return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def word_of(self, unit: str) -> str:
         """The part of a unit that goes to the lattice: one mark at most, then characters."""
+        if unit[:2] != MARK + MARK:
+            return unit if unit != MARK else ""
         bare = unit.lstrip(MARK)
         return (MARK + bare if len(bare) < len(unit) else bare) if bare else ""
 
+    def to_fold(self, units: pa.Array) -> pa.Array:
+        """The distinct words of these distinct units that the lattice decides, sorted."""
+        spaced = pc.starts_with(units, MARK * 2)
+        words = pc.filter(units, pc.invert(spaced))
+        if behind := {self.word_of(u) for u in pc.filter(units, spaced).to_pylist()}:
+            words = pc.unique(pa.concat_arrays([words, pa.array(sorted(behind), pa.string())]))
+        size = pc.utf8_length(words)
+        fit = pc.and_(pc.and_(pc.greater(size, 1), pc.less_equal(size, MASK_CHARS)), pc.is_in(pc.utf8_slice_codeunits(words, -1), pa.array(sorted(self.core), pa.string())))
+        words = pc.filter(words, pc.and_not(fit, pc.is_in(words, pa.array(self.edges, pa.string()))))
+        return words.take(pc.sort_indices(words))
+
     def unit_ids(self, unit: str, mask: int | None, got: list[int] | None = None) -> list[int]:
         """A unit's ids; got: its word's ids, if they are known."""
         word = self.word_of(unit)
@@ -188,46 +217,44 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class Numbers(dict):
-    """Numbers of keys in order of their first sight."""
-
-    def __missing__(self, key) -> int:
-        self[key] = out = len(self)
-        return out
-
-
 def chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
     """(chunk, payload, words): documents as numbers of units, the distinct units, and the words to fold, by lines."""
 
     def run(batches):
         p, part, seq = pieces(path), TaskContext.get().partitionId(), 0
-        units = Numbers()
-        ids, n_units, numbers, held = [], [], [], 0
+        ids, n_units, seen, mine, held = [], [], [], [], 0
+
+        def settle():
+            seen.append(pa.array(mine, pa.string()))
+            mine.clear()
 
         def row():
-            number = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+            settle()
+            coded = pa.chunked_array(seen, pa.string()).dictionary_encode()
+            units = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+            number = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
             order = np.argsort(-np.bincount(number, minlength=len(units)), kind="stable")  # frequent units get small numbers
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            listed = list(units)
-            names = [listed[k] for k in order.tolist()]
-            words = sorted({w for u in names if 1 < len(w := p.word_of(u)) <= MASK_CHARS and w not in p.whole and w[-1] in p.core})
-            raw = [u.encode() for u in names]
+            names = units.take(pa.array(order))
+            words = p.to_fold(names)
             null = np.array([i is None for i in ids], bool)
-            body = pack(np.array([i or 0 for i in ids], np.int64), null, np.array(n_units, np.int64), place[number], np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([body], pa.binary()), pa.array(["\n".join(words)])], names=["chunk", "payload", "words"])
+            sizes, raw = pc.binary_length(names).to_numpy().astype(np.int64), names.cast(pa.binary()).buffers()[2]
+            body = pack(np.array([i or 0 for i in ids], np.int64), null, np.array(n_units, np.int64), place[number], sizes, np.frombuffer(raw or b"", np.uint8)[: sizes.sum()])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([body], pa.binary()), pa.array(["\n".join(words.to_pylist())])], names=["chunk", "payload", "words"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine = p.split(t or "")
+                got = p.split(t or "")
                 ids.append(i)
-                n_units.append(len(mine))
-                numbers.append(np.fromiter(map(units.__getitem__, mine), np.uint32, len(mine)))
+                n_units.append(len(got))
+                mine += got
                 held += len(t or "")
+                if len(mine) >= HELD:
+                    settle()
                 if held >= size:
                     yield row()
-                    units.clear()
-                    seq, ids, n_units, numbers, held = seq + 1, [], [], [], 0
+                    seq, ids, n_units, seen, held = seq + 1, [], [], [], 0
         if ids:
             yield row()
         tidy()
@@ -281,6 +308,16 @@ class Known:
         got = self.held.get(unit)
         if isinstance(got, bytes):
             return got
+        out = p.raw[unit] if unit in p.whole else None
+        if out is None and (mask := got or own.get(unit)):
+            try:
+                out = b"".join([p.raw[unit[at]] for at in p.cut(mask)])
+            except KeyError:  # a character outside the vocabulary
+                out = None
+        if out is not None:
+            if got is not None:
+                self.held[unit] = out
+            return out
         word = p.word_of(unit)
         mask = self.held.get(word)
         met = np.frombuffer(mask, np.int32).tolist() if isinstance(mask, bytes) else None  # blanks before a word that was met

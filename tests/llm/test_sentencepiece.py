@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -32,6 +33,41 @@ def test_heap_equals_the_library(library):
         assert p.run(n + 1) == library.encode(" " * n)
 
 
+def test_words_to_fold_equal_a_plain_choice():
+    p = sl.pieces(PATH)
+    units = list(dict.fromkeys(u for t in texts() for u in p.split(t))) + ["▁▁xqzv", "▁▁▁the", "é" * 3]
+    want = {w for u in units if 1 < len(w := p.word_of(u)) <= sl.MASK_CHARS and w not in p.whole and w[-1] in p.core}
+    assert p.to_fold(pa.array(units)).to_pylist() == sorted(want)
+    assert p.to_fold(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_units_by_cuts_equal_units_by_masks(monkeypatch):
+    p, r = sl.pieces(PATH), random.Random(3)
+    monkeypatch.setattr(sl, "CUTS", 4)
+    known = sl.Known([], np.zeros(0, np.int64))
+    known.held = {}
+    for u in {u for t in texts() for u in p.split(t)}:
+        word = p.word_of(u)
+        mask = 1 | 1 << len(word) | sum(1 << k for k in range(1, len(word)) if r.random() < 0.5)
+        own = {word: mask} if 1 < len(word) <= sl.MASK_CHARS and word[-1] in p.core else {}
+        assert known.ids(p, u, own) == np.array(p.unit_ids(u, own.get(word)), np.int32).tobytes()
+
+
+def test_chunks_of_many_settled_units(spark, library, monkeypatch):
+    monkeypatch.setattr(sl, "HELD", 50)
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame(rows, "i long, t string").coalesce(1)
+    p, seen = sl.pieces(PATH), {}
+    for row in sl.chunks(docs, PATH, 3000).collect():
+        ids, _, n_units, numbers, lengths, raw = sl.unpack(bytes(row.payload))
+        cuts = np.concatenate([[0], np.cumsum(lengths)])
+        names = [raw.tobytes()[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+        stop = np.cumsum(n_units)
+        for i, a, b in zip(ids, [0, *stop], stop, strict=False):
+            seen[int(i)] = [names[k] for k in numbers[a:b]]
+    assert seen == {i: p.split(t) for i, t in rows}
+
+
 def test_encoding_equals_the_library_and_decodes(spark, library):
     rows = [(k, t, 1) for k, t in enumerate(texts())] + [(None, "no id", 1), (5000, None, 1), (3, "again", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
