@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arabic as ar
-from ..operators import claims, eligibility, lookup, radicals, realization, segmentation, tense
+from ..operators import alignment, claims, eligibility, lookup, radicals, realization, segmentation, tense, wordclass
 from ..sources import catalogs
 from . import sql
 
@@ -246,3 +246,50 @@ COMPRESSED = [("قُلْ", "قول,قيل"), ("بِعْ", "بيع,بوع"), ("خ
 def compressed_roots(spark, sf_dir):
     d = spark.createDataFrame([(r[0],) for r in COMPRESSED], "host string")
     return d.select("host", F.array_join(radicals.compressed_candidates(F.col("host")), ",").alias("roots"))
+
+
+# Host, root and its directive; directive, pattern, candidates, increase, operations, suffix and residual.
+ALIGNED = [
+    ("ضَرَبَ", "ضرب", "ACCEPT", "ACCEPT", "FA_A_LA", "FA_A_LA", "", "", "", None), ("قَرَأَ", "قرء", "ACCEPT", "ACCEPT", "FA_A_LA", "FA_A_LA", "", "", "", None), ("مَدَّ", "مدد", "ACCEPT", "ACCEPT", "FA_A_LA", "FA_A_LA", "", "op:weak:mudaaf_gemination_idghaam", "", None),
+    ("عَلَّمَ", "علم", "ACCEPT", "ACCEPT", "FA33ALA", "FA33ALA", "ziyadah:gemination_of_AIN", "op:ziyadah:pattern_gemination", "", None), ("كَاتِب", "كتب", "ACCEPT", "ACCEPT", "FA3IL", "FA3IL", "ziyadah:ا@1", "", "", None), ("تَرَكَتْ", "ترك", "ACCEPT", "ACCEPT", "FA_A_LA", "FA_A_LA", "", "", "تْ", None),
+    ("ضَرَ", "ضرب", "ACCEPT", "BLOCK", None, "", None, None, None, "block:wazn:no_licensed_pattern"), ("أَطْفَالُ", "طفل", "ACCEPT", "DEFER", None, "", None, None, None, "defer:wazn:unlicensed_but_structural_augment"), ("قَالَ", None, "DEFER", "DEFER", None, "", None, None, None, "defer:wazn:root_candidate_not_resolved"),
+    ("قَالَ", "قول", "ACCEPT", "DEFER", None, "", None, None, None, "defer:wazn:catalog_pattern_not_licensed"), ("قَالَ", "قال", "ACCEPT", None, None, "", None, None, None, "contract:prohibited_radical"), ("كَتَبَة", "كتب", "ACCEPT", "DEFER", None, "FA_A_LA", None, None, None, "defer:wazn:nominal_feminine_requires_licensed_wazn"),
+    ("ضَرَبَ", "ضرب", "BLOCK", "BLOCK", None, "", None, None, None, "block:wazn:root_candidate_blocked"), ("ضَرَبَ", None, "ACCEPT", None, None, "", None, None, None, "contract:accepted_without_root"), ("ضَرَبَ", "ضر", "ACCEPT", None, None, "", None, None, None, "contract:unsupported_arity"), ("ضَرَبَ", "ضرب", "MAYBE", None, None, "", None, None, None, "contract:unknown_directive"),
+]
+
+
+@case(f"SELECT * FROM {sql.values(ALIGNED, 'host, letters, root_directive, directive, wazn_id, candidates, increase, operations, suffix, residual')} AS t")
+def project_wazn(spark, sf_dir):
+    d = spark.createDataFrame([r[:3] for r in ALIGNED], "host string, letters string, root_directive string").withColumn("root", F.split("letters", ""))
+    joined = [F.array_join(c, " ").alias(c) for c in ("candidates", "increase", "operations", "suffix")]
+    return alignment.project(d, alignment.catalogue(spark)).select("host", "letters", "root_directive", F.col("wazn_directive").alias("directive"), "wazn_id", *joined, "residual")
+
+
+# What a request brings beside nothing; verdict, class, subclass and reason.
+REQUESTS = [
+    ({}, "DEFERRED", None, None, "NO_MORPHOLOGY_PATH"), ({"path": "another_path"}, "DEFERRED", None, None, "INSUFFICIENT_EVIDENCE"), ({"lexical_verdict": "BLOCK", "mabni_status": "blocked"}, "BLOCKED", None, None, "UPSTREAM_BLOCK"), ({"mabni_status": "blocked", "path": "verbal_root_path"}, "BLOCKED", None, None, "UPSTREAM_BLOCK"),
+    ({"lexical_verdict": "OPERATOR_BOUNDARY", "lexical_class": "Closed Function Word"}, "ACCEPTED", "HARF", "CLOSED_FUNCTION_WORD", "LEXICAL_HARF_ENTRY"), ({"lexical_verdict": "OPERATOR_BOUNDARY", "lexical_class": "Numerical Operator"}, "ACCEPTED", "HARF", "NUMERICAL_OPERATOR", "LEXICAL_HARF_ENTRY"), ({"lexical_verdict": "MABNI_BOUNDARY", "lexical_class": "Closed Function Word"}, "ACCEPTED", "HARF", "CLOSED_FUNCTION_WORD", "LEXICAL_HARF_ENTRY"),
+    ({"lexical_verdict": "OPERATOR_BOUNDARY", "lexical_class": "Verbal Operator"}, "ACCEPTED", "FI3L", "VERBAL_OPERATOR", "LEXICAL_VERBAL_OPERATOR"), ({"path": "ambiguous_morphology_path", "masdar_accepted": True}, "ACCEPTED", "ISM", "MASDAR", "ACCEPTED_MASDAR"), ({"path": "verbal_root_path", "masdar_accepted": True, "verbal_host": True, "normalized": "كَتَبَ"}, "ACCEPTED", "FI3L", "VERBAL_PAST", "LICENSED_VERBAL_HOST"),
+    ({"path": "nominal_morphology_path", "derivative_type": "ISM_FA3IL"}, "ACCEPTED", "ISM", "ISM_FA3IL", "ACCEPTED_DERIVATIVE"), ({"path": "verbal_root_path", "derivative_type": "ISM_FA3IL", "normalized": "كَتَبَ"}, "ACCEPTED", "FI3L", "VERBAL_PAST", "VERBAL_ROOT_PATH"), ({"attachment_route": "MABNI_BOUNDARY", "mabni_class": "DETACHED_PRONOUN", "lexical_verdict": "MABNI_BOUNDARY"}, "ACCEPTED", "ISM", "PRONOUN", "MABNI_BOUNDARY_ISM"), ({"attachment_route": "MABNI_BOUNDARY", "mabni_class": "DEMONSTRATIVE"}, "ACCEPTED", "ISM", "DEMONSTRATIVE", "MABNI_BOUNDARY_ISM"),
+    ({"path": "verbal_root_path", "normalized": "يَكْتُبُ"}, "ACCEPTED", "FI3L", "VERBAL_IMPERFECT", "VERBAL_ROOT_PATH"), ({"path": "ambiguous_morphology_path", "verbal_host": True, "bab_id": "BAB_FORM_IV", "wazn_id": "AF3AL", "normalized": "أَقْسَطُ"}, "ACCEPTED", "ISM", "LEXICAL_NOUN", "ELATIVE_AFAL_NOT_VERB"), ({"surface": "فَاكْتُبُوهُ", "path": "ambiguous_morphology_path"}, "ACCEPTED", "FI3L", "VERBAL_IMPERATIVE", "IMPERATIVE_SURFACE_SELF_EVIDENT"), ({"surface": "وَلْيَكْتُبْ", "path": "ambiguous_morphology_path"}, "ACCEPTED", "FI3L", "VERBAL_IMPERFECT", "LAM_AMR_JUSSIVE_IMPERFECT"),
+    ({"surface": "كَتَبَ", "normalized": "كَتَبَ", "path": "ambiguous_morphology_path", "wazn_id": "FA_A_LA", "bab_tried": True}, "ACCEPTED", "FI3L", "VERBAL_PAST", "AMBIGUOUS_PATH_P4A_WAZN"), ({"surface": "الْحَقُّ", "path": "ambiguous_morphology_path", "wazn_id": "FA3L", "bab_tried": True}, "ACCEPTED", "ISM", "LEXICAL_NOUN", "DEFINITE_ARTICLE_NOT_VERB"), ({"surface": "بَيْنَكُمْ", "path": "ambiguous_morphology_path", "wazn_id": "FA3L"}, "ACCEPTED", "ISM", "LEXICAL_NOUN", "AMBIGUOUS_NO_P4B_SUPPORT"), ({"surface": "عَلَيْكُمْ", "path": "ambiguous_morphology_path"}, "ACCEPTED", "ISM", "LEXICAL_NOUN", "AMBIGUOUS_NO_VERBAL_EVIDENCE"),
+    ({"surface": "يَكُونَا", "normalized": "يَكُونَا", "path": "no_morphology_path"}, "ACCEPTED", "FI3L", "VERBAL_IMPERFECT", "IMPERFECT_PREFIX_NO_MORPH_PATH"), ({"surface": "ذَلِكُمْ", "normalized": "ذَلِكُمْ", "path": "no_morphology_path"}, "ACCEPTED", "ISM", "LEXICAL_NOUN", "NO_MORPHOLOGY_PATH_DEFAULT_ISM"), ({"path": "nominal_morphology_path"}, "ACCEPTED", "ISM", "LEXICAL_NOUN", "NOMINAL_MORPHOLOGY_PATH"), ({"path": "derived_nominal_path"}, "ACCEPTED", "ISM", "LEXICAL_NOUN", "NOMINAL_MORPHOLOGY_PATH"), ({"path": "functional_path"}, "ACCEPTED", "ISM", "CLOSED_FUNCTION_WORD", "NOMINAL_MORPHOLOGY_PATH"),
+]
+
+
+@case(f"SELECT nr::INTEGER AS nr, verdict, word_class, subclass, reason FROM {sql.values([(k, *r[1:]) for k, r in enumerate(REQUESTS)], 'nr, verdict, word_class, subclass, reason')} AS t")
+def classify_word_class(spark, sf_dir):
+    kinds = {str: "string", bool: "boolean"}
+    schema = "nr int, " + ", ".join(f"{k} {kinds[type(v)]}" for k, v in wordclass.REQUEST.items())
+    d = spark.createDataFrame([(k, *(r[0].get(c) for c in wordclass.REQUEST)) for k, r in enumerate(REQUESTS)], schema)
+    return wordclass.decide(d).select("nr", F.col("word_class_verdict").alias("verdict"), "word_class", "subclass", "reason")
+
+
+# An attachment's note and the id it names.
+NOTES = [("whole-token match: HUWA", "HUWA"), ("whole-token match: HADHA ", "HADHA"), ("suffix", ""), ("", ""), (None, "")]
+
+
+@case(f"SELECT notes, mabni_id FROM {sql.values(NOTES, 'notes, mabni_id')} AS t")
+def extract_mabni_id_from_notes(spark, sf_dir):
+    d = spark.createDataFrame([(r[0],) for r in NOTES], "notes string")
+    return d.select("notes", wordclass.mabni_id_of_note(F.col("notes")).alias("mabni_id"))

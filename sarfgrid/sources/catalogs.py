@@ -59,7 +59,7 @@ MUSHTAQ = Contract(
     active_only=True,
 )
 FUNCTION_WORDS = Contract("words", "normalized", "normalized string, surface_canonical string, word_class string, kind string, root_eligible boolean, note string", ("normalized", "word_class", "kind", "root_eligible"))
-ROLES, VOWELS, ROOT_ROLES = ("FA", "AIN", "LAM", "FOURTH", "ZIYADAH"), ("FATHA", "DAMMA", "KASRA", "SUKUN", "ANY", "LONG"), ("FA", "AIN", "LAM", "FOURTH")
+ROLES, VOWELS, ROOT_ROLES = ("FA", "AIN", "LAM", "FOURTH", "ZIYADAH"), ("FATHA", "DAMMA", "KASRA", "SUKUN", "FINAL", "MATER", "ANY"), ("FA", "AIN", "LAM", "FOURTH")
 
 
 def faults(rows: DataFrame, contract: Contract) -> DataFrame:

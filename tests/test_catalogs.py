@@ -59,3 +59,8 @@ def test_closed_class_csv(spark, tmp_path):
     q = tmp_path / "o.csv"
     q.write_text(",".join(ct.OPERATOR_FIELDS) + "\nإِنَّ,g,G,1,p,True\nx,g,G,1,p,False\n", encoding="utf-8")
     assert [r.surface for r in ct.load_operators(spark, str(q)).collect()] == ["إِنَّ"]
+
+
+def test_patterns_with_free_and_long_vowels_are_read(spark, tmp_path):
+    cells = [CELL, {"role": "ZIYADAH", "vowel": "MATER", "letter": "ا"}, {"role": "AIN", "vowel": "KASRA"}, {"role": "LAM", "vowel": "FINAL"}]
+    assert ct.load_wazn_catalog(spark, path(tmp_path, "awzan", [WAZN | {"template": cells}])).count() == 1
