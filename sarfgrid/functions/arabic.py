@@ -108,3 +108,28 @@ def mark_state(phone: Column) -> Column:
     return (
         F.when(phone.rlike(f"[{TANWIN}]"), "TANWIN").when(phone.rlike(f"[{SHORT}]"), "EXPLICIT_VOWEL").when(phone.contains(SUKUN), "SUKUN").when(F.length(phone) > 1, "OTHER").otherwise("ABSENT")
     )
+
+
+def diacritic(letter: Column) -> Column:
+    """The first short vowel or sukun that a letter carries, or null."""
+    return F.nullif(F.regexp_extract(letter, f"([{SHORT}{SUKUN}])", 1), F.lit(""))
+
+
+def is_silent(letter: Column) -> Column:
+    """A letter with sukun, or without a vowel."""
+    return F.coalesce(diacritic(letter) == SUKUN, F.lit(True))
+
+
+def is_moving(letter: Column) -> Column:
+    """A letter with a short vowel."""
+    return F.coalesce(diacritic(letter) != SUKUN, F.lit(False))
+
+
+def doubled(letter: Column, vowel: Column) -> Column:
+    """struct(first, second) of a doubled letter: silent, then with the vowel; null where that is no short vowel."""
+    return F.when(vowel.isin(*SHORT), F.struct(F.concat(letter, F.lit(SUKUN)).alias("first"), F.concat(letter, vowel).alias("second")))
+
+
+def with_article(c: Column) -> Column:
+    """The article (hamza, fatha, silent lam) in front of a word, without assimilation."""
+    return F.concat(F.lit("ء" + FATHA + "ل" + SUKUN), c)

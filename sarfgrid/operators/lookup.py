@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arabic as ar
 from ..functions import glyphs
 from ..functions.arabic import nfc, strip_diacritics, strip_key
+from ..functions.binding import let
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -85,3 +87,70 @@ def rules_for(rules: DataFrame, form_family: str, **equal: str) -> DataFrame:
 def inventory_stats(catalogue: DataFrame, group: str) -> DataFrame:
     """group, rows, surfaces (distinct vocalised) of a catalogue."""
     return catalogue.groupBy(group).agg(F.count("*").alias("rows"), F.count_distinct("surface_vocalized").alias("surfaces"))
+
+
+# Proper names by their key (vowels off, doubling kept): identity and kind.
+NAMES = {
+    "اللّه": ("الله", "divine_name"), "لّه": ("الله", "divine_name"), "ابراهيم": ("إبراهيم", "prophet_name"), "اسماعيل": ("إسماعيل", "prophet_name"), "يعقوب": ("يعقوب", "prophet_name"), "محمد": ("محمد", "prophet_name"),
+    "موسى": ("موسى", "prophet_name"), "عيسى": ("عيسى", "prophet_name"), "مكة": ("مكة", "place_name"), "مدينة": ("مدينة", "place_name"), "بغداد": ("بغداد", "place_name"),
+}
+NAME_CATEGORY = "اسم علم"
+# Groups of the operator catalogue that hold verbs, verbs of cognition, and numbers.
+VERBAL_GROUPS, COGNITION_GROUP, NUMBER_GROUP = (10, 11, 12), 13, 8
+
+
+def proper_name(host: Column) -> Column:
+    """struct(verdict, matched_key, identity, category, kind, blocks_root_path): JAMID_AALAM_BOUNDARY closes the root path, JAMID_AALAM_OPEN leaves it open. Null and empty hosts are open."""
+    marks = ar.TANWIN + ar.SHORT + ar.SUKUN + ar.DAGGER
+    named = lambda pairs: F.create_map(*[F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("identity"), F.lit(x[1]).alias("kind")) for kv in pairs for x in kv])
+    bare = {k.replace(ar.SHADDA, ""): v for k, v in NAMES.items()}
+    key = F.regexp_replace(host, f"[{marks}]", "")
+
+    def of(k, hit):
+        found = hit.isNotNull()
+        return F.struct(
+            F.when(found, "JAMID_AALAM_BOUNDARY").otherwise("JAMID_AALAM_OPEN").alias("verdict"),
+            F.when(found, k).alias("matched_key"),
+            hit["identity"].alias("identity"),
+            F.when(found, NAME_CATEGORY).alias("category"),
+            hit["kind"].alias("kind"),
+            found.alias("blocks_root_path"),
+        )
+
+    return let(key, lambda k: let(F.coalesce(F.element_at(named(NAMES.items()), k), F.element_at(named(bare.items()), F.replace(k, F.lit(ar.SHADDA), F.lit("")))), lambda hit: of(k, hit)))
+
+
+def entries_class(entries: Column) -> Column:
+    """The lexical class that a word's catalogue entries state together. entries: array of struct(group_number, is_operator, surface_vocalized)."""
+    verbal = (F.size(entries) > 0) & F.forall(entries, lambda e: e["group_number"].isin(*VERBAL_GROUPS))
+    return (
+        F.when(F.exists(entries, lambda e: e["group_number"] == COGNITION_GROUP), "Cognition Verb")
+        .when(verbal & F.exists(entries, lambda e: e["surface_vocalized"].contains(" ")), "Phrase Operator")
+        .when(verbal, "Verbal Operator")
+        .when(F.exists(entries, lambda e: (e["group_number"] == NUMBER_GROUP) & e["is_operator"]), "Numerical Operator")
+        .when(F.exists(entries, lambda e: e["is_operator"]), "Closed Function Word")
+        .otherwise("Bound Nominal")
+    )
+
+
+def entries_verdict(entries: Column, structural: Column) -> Column:
+    """The lexical verdict under the structural one: BLOCK stays, no entry is OPEN, and a deferred word is never lifted to a boundary."""
+    kind = F.when(F.exists(entries, lambda e: e["is_operator"]), "OPERATOR").otherwise("MABNI")
+    found = F.coalesce(F.size(entries), F.lit(0)) > 0
+    return F.when(structural == "BLOCK", "BLOCK").when(~found, "OPEN").otherwise(F.concat(kind, F.when(structural == "DEFER", "_DEFERRED").otherwise("_BOUNDARY")))
+
+
+def project_entries(words: DataFrame, inventory: DataFrame) -> DataFrame:
+    """words (surface, verdict) with lexical_verdict, lexical_class, entries and purposes of the inventory's rows of the same surface.
+
+    inventory: surface_vocalized, group_number, is_operator, purpose. It is grouped to one
+    row a surface before the join, so a word stays one row; repeated words are looked up
+    each, null and unlisted surfaces are OPEN without a class, and blocked words are not
+    looked up at all.
+    """
+    each = F.struct(F.col("group_number"), F.col("is_operator"), F.col("surface_vocalized"), F.col("purpose"))
+    single = inventory.groupBy(F.col("surface_vocalized").alias("_key")).agg(F.array_sort(F.collect_list(each)).alias("_entries"))
+    j = words.join(single, (words["surface"] == single["_key"]) & (words["verdict"] != "BLOCK"), "left")
+    e = F.col("_entries")
+    purposes = F.array_distinct(F.filter(F.transform(e, lambda x: x["purpose"]), lambda p: p != ""))
+    return j.select(*words.columns, entries_verdict(e, F.col("verdict")).alias("lexical_verdict"), F.when(e.isNotNull(), entries_class(e)).alias("lexical_class"), F.coalesce(F.size(e), F.lit(0)).alias("entries"), F.coalesce(purposes, F.array().cast("array<string>")).alias("purposes"))

@@ -293,3 +293,52 @@ NOTES = [("whole-token match: HUWA", "HUWA"), ("whole-token match: HADHA ", "HAD
 def extract_mabni_id_from_notes(spark, sf_dir):
     d = spark.createDataFrame([(r[0],) for r in NOTES], "notes string")
     return d.select("notes", wordclass.mabni_id_of_note(F.col("notes")).alias("mabni_id"))
+
+
+# A letter with its marks; its vowel or sukun, silent, moving.
+LETTERS = [("بَ", "َ", False, True), ("بْ", "ْ", True, False), ("ب", None, True, False), ("بُّ", "ُ", False, True), ("بٌ", None, True, False), ("", None, True, False)]
+
+
+@case(f"SELECT * FROM {sql.values(LETTERS, 'letter, mark, silent, moving')} AS t")
+def letter_states(spark, sf_dir):
+    d = spark.createDataFrame([(r[0],) for r in LETTERS], "letter string")
+    c = F.col("letter")
+    return d.select("letter", ar.diacritic(c).alias("mark"), ar.is_silent(c).alias("silent"), ar.is_moving(c).alias("moving"))
+
+
+# Letter and vowel; both parts of the doubled letter, and a word behind the article.
+DOUBLED = [("م", "َ", "مْ", "مَ", "ءَلْم"), ("د", "ُ", "دْ", "دُ", "ءَلْد"), ("د", "ْ", None, None, "ءَلْد"), (None, "َ", None, None, None)]
+
+
+@case(f"SELECT * FROM {sql.values(DOUBLED, 'letter, vowel, first, second, named')} AS t")
+def expand_shadda(spark, sf_dir):
+    d = spark.createDataFrame([r[:2] for r in DOUBLED], "letter string, vowel string")
+    return d.withColumn("x", ar.doubled(F.col("letter"), F.col("vowel"))).select("letter", "vowel", "x.first", "x.second", ar.with_article(F.col("letter")).alias("named"))
+
+
+# Host; verdict, identity and kind.
+NAMED = [
+    ("اللَّهُ", "JAMID_AALAM_BOUNDARY", "الله", "divine_name"), ("اللَّهَ", "JAMID_AALAM_BOUNDARY", "الله", "divine_name"), ("اللَّهِ", "JAMID_AALAM_BOUNDARY", "الله", "divine_name"), ("لَّهِ", "JAMID_AALAM_BOUNDARY", "الله", "divine_name"), ("مُحَمَّدٌ", "JAMID_AALAM_BOUNDARY", "محمد", "prophet_name"), ("مَكَّةَ", "JAMID_AALAM_BOUNDARY", "مكة", "place_name"),
+    ("كَاتِبٌ", "JAMID_AALAM_OPEN", None, None), ("يَكْتُبُ", "JAMID_AALAM_OPEN", None, None), ("دَيْنٌ", "JAMID_AALAM_OPEN", None, None), ("عَدْلٌ", "JAMID_AALAM_OPEN", None, None), ("حَجَرٌ", "JAMID_AALAM_OPEN", None, None), ("جَبَلٌ", "JAMID_AALAM_OPEN", None, None), ("", "JAMID_AALAM_OPEN", None, None), (None, "JAMID_AALAM_OPEN", None, None),
+]
+
+
+@case(f"SELECT host, verdict, identity, kind, verdict = 'JAMID_AALAM_BOUNDARY' AS blocks_root_path FROM {sql.values(NAMED, 'host, verdict, identity, kind')} AS t")
+def process_jamid_aalam(spark, sf_dir):
+    d = spark.createDataFrame([(r[0],) for r in NAMED], "host string")
+    return d.withColumn("x", lookup.proper_name(F.col("host"))).select("host", "x.verdict", "x.identity", "x.kind", "x.blocks_root_path")
+
+
+# Surface, group, operator, purpose of some catalogue rows.
+INVENTORY = [("إِنَّ", 1, True, "توكيد"), ("كَانَ", 10, True, ""), ("مَا زَالَ", 10, True, ""), ("ظَنَّ", 13, True, "ظن"), ("ظَنَّ", 10, True, "ظن"), ("كَذَا", 8, True, "عدد"), ("كَذَا", 0, False, "كناية"), ("هُوَ", 0, False, "")]
+# Surface and structural verdict; lexical verdict, class and number of entries.
+PROJECTED = [
+    ("إِنَّ", "ACCEPT", "OPERATOR_BOUNDARY", "Closed Function Word", 1), ("إِنَّ", "DEFER", "OPERATOR_DEFERRED", "Closed Function Word", 1), ("إِنَّ", "BLOCK", "BLOCK", None, 0), ("كَانَ", "ACCEPT", "OPERATOR_BOUNDARY", "Verbal Operator", 1), ("مَا زَالَ", "ACCEPT", "OPERATOR_BOUNDARY", "Phrase Operator", 1),
+    ("ظَنَّ", "ACCEPT", "OPERATOR_BOUNDARY", "Cognition Verb", 2), ("كَذَا", "ACCEPT", "OPERATOR_BOUNDARY", "Numerical Operator", 2), ("هُوَ", "ACCEPT", "MABNI_BOUNDARY", "Bound Nominal", 1), ("هُوَ", "DEFER", "MABNI_DEFERRED", "Bound Nominal", 1), ("كَتَبَ", "ACCEPT", "OPEN", None, 0), ("كَتَبَ", "DEFER", "OPEN", None, 0), (None, "ACCEPT", "OPEN", None, 0),
+]
+
+
+@case(f"SELECT surface, verdict, lexical_verdict, lexical_class, entries FROM {sql.values(PROJECTED, 'surface, verdict, lexical_verdict, lexical_class, entries')} AS t")
+def project_operators(spark, sf_dir):
+    words = spark.createDataFrame([r[:2] for r in PROJECTED], "surface string, verdict string")
+    return lookup.project_entries(words, spark.createDataFrame(INVENTORY, "surface_vocalized string, group_number int, is_operator boolean, purpose string")).drop("purposes")
