@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arabic as ar
-from ..operators import alignment, claims, eligibility, lookup, radicals, realization, segmentation, tense, wordclass
+from ..operators import alignment, claims, eligibility, functional, lookup, radicals, realization, segmentation, tense, wordclass
 from ..sources import catalogs
 from . import sql
 
@@ -342,3 +342,20 @@ PROJECTED = [
 def project_operators(spark, sf_dir):
     words = spark.createDataFrame([r[:2] for r in PROJECTED], "surface string, verdict string")
     return lookup.project_entries(words, spark.createDataFrame(INVENTORY, "surface_vocalized string, group_number int, is_operator boolean, purpose string")).drop("purposes")
+
+
+# Host; owner, match, form, word class and the forms that collide.
+FUNCTIONAL = [
+    ("الَّذِي", "MABNI_BOUNDARY", "VOCALIZED", "الَّذِي", "ISM", ""), ("هُوَ", "MABNI_BOUNDARY", "VOCALIZED", "هُوَ", "ISM", ""), ("لِمَا", "OPERATOR_BOUNDARY", "VOCALIZED", "لِمَا", "HARF", ""), ("مِنْ", "OPERATOR_BOUNDARY", "VOCALIZED", "مِنْ", "HARF", ""), ("كَمْ", "MABNI_BOUNDARY", "VOCALIZED", "كَمْ", "ISM", ""), ("هو", "MABNI_BOUNDARY", "BARE", "هُوَ", "ISM", ""),
+    ("من", None, "COLLISION", "من", "", "مِنْ مَنْ"), ("أنت", None, "COLLISION", "أنت", "", "أَنْتَ أَنْتِ"), ("إنّ", "OPERATOR_BOUNDARY", "BARE", "إِنَّ", "HARF", ""), ("إن", "OPERATOR_BOUNDARY", "BARE", "إِنْ", "HARF", ""), ("همّا", "MABNI_BOUNDARY", "BARE", "هُمَا", "ISM", ""),
+    ("وَهُوَ", "OPERATOR_BOUNDARY", "COMPOUND", "هُوَ", "HARF", ""), ("وَلِمَا", "OPERATOR_BOUNDARY", "COMPOUND", "لِمَا", "HARF", ""), ("فَوَهُوَ", "OPERATOR_BOUNDARY", "COMPOUND", "وَهُوَ", "HARF", ""), ("وَفَوَبِهُوَ", "OPERATOR_BOUNDARY", "COMPOUND", "فَوَبِهُوَ", "HARF", ""), ("وهو", "OPERATOR_BOUNDARY", "COMPOUND", "هُوَ", "HARF", ""),
+    ("وأنت", None, None, None, None, None), ("كَتَبَ", None, None, None, None, None), ("الذي", None, None, None, None, None), ("", None, None, None, None, None), (None, None, None, None, None, None),
+]
+OPERATORS = [(1, "مِنْ", "حروف الجر", True, "operators"), (2, "إِنَّ", "إن وأخواتها", True, "operators"), (3, "إِنْ", "أدوات الشرط", True, "operators"), (4, "كَيْفَ", "استفهام", True, "operators")]
+
+
+@case(f"SELECT * FROM {sql.values(FUNCTIONAL, 'host, owner, match_type, matched_form, word_class, candidates')} AS t")
+def lookup_functional(spark, sf_dir):
+    words = spark.createDataFrame([(r[0],) for r in FUNCTIONAL], "host string")
+    index = spark.createDataFrame(OPERATORS, functional.INDEX).unionByName(functional.supplement(spark))
+    return functional.lookup(words, index).select("host", "owner", "match_type", "matched_form", "word_class", F.array_join("candidates", " ").alias("candidates"))
