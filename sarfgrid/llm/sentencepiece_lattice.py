@@ -308,14 +308,13 @@ class Known:
         got = self.held.get(unit)
         if isinstance(got, bytes):
             return got
-        out, raw = None, p.raw
-        if mask := got or own.get(unit):  # never a whole piece: those are not folded
+        raw = p.raw
+        out = raw[unit] if unit in p.whole else None
+        if out is None and (mask := got or own.get(unit)):
             try:
                 out = b"".join([raw[unit[at]] for at in p.cuts.get(mask) or p.cut(mask)])
             except KeyError:  # a character outside the vocabulary
                 out = None
-        elif unit in p.whole:
-            out = raw[unit]
         if out is not None:
             if got is not None:
                 self.held[unit] = out
