@@ -1,14 +1,17 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
-Two sets with Jaccard >= t share at least ceil(t * n) elements, so under any common
-order of elements their first n - ceil(t * n) + l elements share at least l. The order
-is rarest first, by a fixed-size count sketch over all documents (any order is right;
-the sketch only makes lists short), and l grows with n, which leaves ordinary
-documents without partners. What is left falls into clusters; in each cluster every
-set queries the inverted lists of the others: short lists are merged and counted, long
-lists are only probed by binary search for sets that can still reach the required
-overlap. Where components are asked, partners that are linked already are skipped;
-``jaccard_links`` skips none and gives every link, and the number of links of each row.
+Partners of n and m elements have at most d = (1-t)/(1+t) * (n+m) elements that only one
+of them has. A set is therefore dealt, by the elements' values, into more parts than d
+(as many for all sets of a size class), so partners have equal parts; each set is listed
+under the fingerprints of its largest parts, d + 1 of them, of which a partner has one.
+Of the sets of a list only those are candidates whose parts leave room for d, which a byte
+a part tells (unequal parts of one size differ by two elements at least): passages or
+common words that many documents share make no cluster, however many documents there are. What is left falls into clusters; in each
+cluster every set queries the inverted lists of the others: short lists are merged and
+counted, long lists are only probed by binary search for sets that can still reach the
+required overlap. Where components are asked, partners that are linked already are
+skipped; ``jaccard_links`` skips none and gives every link, and the number of links of
+each row.
 
 Equal sets count once from the start. A cluster beyond BLOCK_SHINGLES is cut into
 chunks by hash, and every pair of chunks is searched, so no task holds more than two
@@ -21,30 +24,28 @@ repeated rows have equal sets and so one component; the order of rows never matt
 from __future__ import annotations
 
 import zlib
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import release, scratch, small_batches, table, tidy, written
 from .components import connected_components
-from .shingles import set_key, shingle_set
+from .shingles import mix, set_key, shingle_set
 
 PERCENT = 90
+_SALT = np.uint64(0x5851F42D4C957F2D)
 #: Words of a shingle.
 WORDS = 3
-#: Counters of the sketch that orders elements, and of the filter that finds candidates again (fixed sizes).
-SKETCH_BITS, FILTER_BITS, SKETCH_PARTS = 21, 23, 64
-#: Tasks' sketches are summed in so many groups a part first.
-SKETCH_GROUPS = 64
-#: Share of a set's elements by which the prefix is longer, and so the common part asked of it.
-EXTRA = 0.05
+#: Size of the filter that finds candidates again (fixed).
+FILTER_BITS = 23
+#: Bytes of outlines that are compared at once.
+OUTLINE_BYTES = 2_000_000
 #: Scratch that nothing reads once the links are written.
-SPENT = ("join-postings", "join-sets", "cc-")
+SPENT = ("join-sets", "cc-")
 #: Shingles of one chunk of a cluster.
 BLOCK_SHINGLES = 2_000_000
 
@@ -54,91 +55,147 @@ def required(n, percent: int):
     return -(-percent * n // 100)
 
 
-def asked(n, percent: int):
-    """Common elements that two partners' prefixes have at least."""
-    return 1 + (n * int(EXTRA * 1000)) // 1000
+def most_apart(n: int, m: int, percent: int) -> int:
+    """Most elements that only one of two partners of n and m elements has."""
+    return (100 - percent) * (n + m) // (100 + percent)
 
 
-def asked_column(n: str):
-    return 1 + F.floor(F.col(n) * int(EXTRA * 1000) / 1000)
+@lru_cache(maxsize=4096)
+def size_class(n: int) -> tuple[int, int]:
+    """Number and greatest size of the class that holds sets of n elements."""
+    k, top = 0, 8
+    while top < n:
+        k, top = k + 1, top * 8 // 5
+    return k, top
 
 
-def slot(s: np.ndarray, bits: int) -> np.ndarray:
-    return (s >> np.uint64(64 - bits)).astype(np.int64)
+def parts(s: np.ndarray, percent: int):
+    """For each size class that may hold an unequal partner of a set: its number, most elements that one partner alone has, sizes and fingerprints of the set's parts."""
+    n = len(s)
+    largest = 100 * n // percent
+    (own, top), (last, _) = size_class(n), size_class(largest)
+    for k in range(own, last + 1):
+        if k > own:
+            _, top = size_class(top + 1)
+        apart = most_apart(n, min(top, largest), percent)
+        if n and apart:
+            m = most_apart(top, top, percent) + 1
+            at = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # in order, as s is
+            edge = np.searchsorted(at, np.arange(m + 1))
+            with np.errstate(over="ignore"):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ _SALT), dtype=np.uint64)])
+                prints = mix(sums[edge[1:]] - sums[edge[:-1]] + mix(np.arange(m, dtype=np.uint64) * np.uint64(256) + np.uint64(k)))
+            yield k, apart, np.diff(edge), prints
 
 
-def prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    n = len(s)
-    p = min(n, n - required(n, percent) + asked(n, percent))
-    return s[np.lexsort((s, sketch[slot(s, SKETCH_BITS)]))[:p]]
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the parts by which any unequal partner of a set is found, the largest ones, and their size classes."""
+    out, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for k, apart, size, prints in parts(s, percent):
+        out.append(prints[np.lexsort((prints, -size))[: apart + 1]])
+        kinds.append(np.full(len(out[-1]), k, np.int32))
+    return np.concatenate(out), np.concatenate(kinds)
 
 
-def summaries(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows of documents (doc_id, n, key), and of the tasks' sketches (part, counts, and the task's group as n)."""
+def outlines(s: np.ndarray, percent: int) -> tuple[list[int], list[bytes]]:
+    """By size class: the set's size, and a byte of every part: its size, 15 at most, and four bits of its fingerprint."""
+    got = [(k, np.uint32(len(s)).tobytes() + (np.minimum(size, 15).astype(np.uint8) << 4 | prints.astype(np.uint8) & 15).tobytes()) for k, _, size, prints in parts(s, percent)]
+    return [x[0] for x in got], [x[1] for x in got]
 
-    def run(batches):
-        counts, size = np.zeros(1 << SKETCH_BITS, np.uint32), (1 << SKETCH_BITS) // SKETCH_PARTS
-        for b in batches:
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            for s in sets:
-                counts[slot(s, SKETCH_BITS)] += 1  # twice in a slot of one text counts once: only an order
-            none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), *none], names=["doc_id", "n", "key", "part", "counts"])
-        full = [k for k in range(SKETCH_PARTS) if counts[k * size : (k + 1) * size].any()]
-        if full:
-            none, group = pa.nulls(len(full), pa.int64()), TaskContext.get().partitionId() % SKETCH_GROUPS
-            blobs = [zlib.compress(counts[k * size : (k + 1) * size].tobytes(), 1) for k in full]
-            yield pa.RecordBatch.from_arrays([none, pa.array([group] * len(full), pa.int64()), none, pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "key", "part", "counts"])
-        tidy()
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, part int, counts binary")
+def _apart() -> np.ndarray:
+    """Least number of elements that one of two parts alone has, by their bytes of outline."""
+    size, low = np.arange(256) >> 4, np.arange(256) & 15
+    same = np.where(low[:, None] == low[None, :], 0, np.where(size == 15, 1, 2)[:, None])  # parts of one size differ by two at least
+    return np.where(size[:, None] == size[None, :], same, np.abs(size[:, None] - size[None, :])).astype(np.uint8).ravel()
 
 
-def sketch_of(rows: DataFrame) -> np.ndarray:
-    """The summed sketch, as 8-bit logarithms: 2 MB whatever the input."""
-    size = (1 << SKETCH_BITS) // SKETCH_PARTS
+APART = _apart()
 
-    def total(rows):
-        out = np.zeros(size, np.uint64)
-        for blob in rows.column("counts").to_pylist():
-            out += np.frombuffer(zlib.decompress(blob), np.uint32)
-        return out
 
-    def some(key, rows):
-        counts = np.minimum(total(rows), 2**32 - 1).astype(np.uint32)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
+def summaries(docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """Rows of documents: doc_id, n, key, and the set's outlines."""
 
-    def add(key, rows):
-        logs = np.minimum(np.log2(1 + total(rows).astype(float)) * 6, 255).astype(np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "logs": pa.array([logs.tobytes()], pa.binary())})
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            lines = [outlines(s, percent) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([x[0] for x in lines], pa.list_(pa.int32())), pa.array([x[1] for x in lines], pa.list_(pa.binary()))],
+                names=["doc_id", "n", "key", "kinds", "lines"],
+            )
+        tidy()
 
-    grouped = rows.where("part IS NOT NULL").select("part", "n", "counts").groupBy("part", "n").applyInArrow(some, "part int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in grouped.groupBy("part").applyInArrow(add, "part int, logs binary").collect():  # SKETCH_PARTS rows
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["logs"], np.uint8)
-    return out
+    return docs.mapInArrow(run, "doc_id long, n long, key long, kinds array<int>, lines array<binary>")
 
 
-def postings(docs: DataFrame, sketch, percent: int, words: int = WORDS) -> DataFrame:
-    """(h, key, n): each distinct set's prefix, once a task."""
+def postings(docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """(h, key, kind): each distinct set's signatures, once a task."""
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            hs, keys, ns = [], [], []
+            hs, keys, kinds = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, words)
                 k = set_key(s)
                 if len(s) and k not in seen:
                     seen.add(k)
-                    hs.append(prefix(s, sketch.value, percent))
-                    keys.append(np.full(len(hs[-1]), k))
-                    ns.append(np.full(len(hs[-1]), len(s)))
+                    h, kind = signatures(s, percent)
+                    hs.append(h)
+                    kinds.append(kind)
+                    keys.append(np.full(len(h), k))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ns).astype(np.int32))], names=["h", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(kinds))], names=["h", "key", "kind"])
+        tidy()
+
+    return docs.mapInArrow(run, "h long, key long, kind int")
+
+
+def alike(keys: np.ndarray, lines: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges that join the sets of one list whose outlines let them be partners."""
+    view = np.frombuffer(b"".join(lines), np.uint8).reshape(len(lines), -1)
+    n = np.ascontiguousarray(view[:, :4]).view(np.uint32).ravel().astype(np.int64)
+    view, rest, out = view[:, 4:], np.arange(len(keys)), []
+    step = max(1, OUTLINE_BYTES // view.shape[1])
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            v = reached.pop()
+            mine, ok = view[v].astype(np.uint16) << 8, np.zeros(len(rest), bool)
+            for a in range(0, len(rest), step):
+                r = rest[a : a + step]
+                ok[a : a + step] = APART[mine | view[r]].sum(1, dtype=np.int64) <= most_apart(n[r], n[v], percent)
+            new = rest[ok].tolist()
+            out += [(int(keys[v]), int(keys[x])) for x in new]
+            reached += new
+            rest = rest[~ok]
+    return out
+
+
+def alike_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the lists' edges. rows: list, key, line; a list's rows stand together."""
+
+    def run(batches):
+        now, keys, lines = None, [], []
+        for b in batches:
+            a, z = [], []
+            for x, k, line in zip(*(b.column(c).to_pylist() for c in ("list", "key", "line")), strict=True):
+                if x != now:
+                    if len(keys) > 1:
+                        edges = alike(np.array(keys), lines, percent)
+                        a += [e[0] for e in edges]
+                        z += [e[1] for e in edges]
+                    now, keys, lines = x, [], []
+                keys.append(k)
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+        if len(keys) > 1:
+            edges = alike(np.array(keys), lines, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
         tidy()
 
-    return docs.mapInArrow(run, "h long, key long, n int")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
@@ -258,16 +315,16 @@ def search(docs: DataFrame, percent: int, id_col: str, text_col: str, words: int
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     context = docs.sparkSession.sparkContext
-    rows = written(summaries(docs, words), "join-summaries")
-    sketch = context.broadcast(sketch_of(rows))
-    p = postings(docs, sketch, percent, words).repartition("h").dropDuplicates(["h", "key"])
-    p = p.withColumn("k", F.count("*").over(Window.partitionBy("h"))).where("k > 1").select("h", "key", "n")
-    p = p.withColumn("met", F.count("*").over(Window.partitionBy("key")))
-    p = written(p.where(F.col("met") >= asked_column("n")).select("h", "key"), "join-postings")
-    stars = p.withColumn("first", F.min("key").over(Window.partitionBy("h"))).where("key <> first")
-    clusters = connected_components(stars.select(F.col("key").alias("a"), F.col("first").alias("b")))
-    bits = context.broadcast(bit_filter(p))
-    return rows.where("part IS NULL").select("doc_id", "n", "key"), links(candidate_sets(docs, bits, words), clusters, percent, every)
+    rows = written(summaries(docs, percent, words), "join-summaries")
+    of_h = Window.partitionBy("h")
+    p = postings(docs, percent, words).repartition("h").dropDuplicates(["h", "key"]).withColumn("k", F.count("*").over(of_h))
+    p = p.withColumn("list", F.bit_xor(F.xxhash64("key", "kind")).over(of_h)).where("k > 1")
+    p = p.select(F.struct("kind", "k", "list").alias("list"), "key", "kind").distinct()  # lists of the same sets count once
+    line = rows.where("n > 0").select(F.col("key").alias("of"), F.explode(F.arrays_zip("kinds", "lines")).alias("x")).select("of", F.col("x.kinds").alias("is"), F.col("x.lines").alias("line"))
+    met = p.join(line.dropDuplicates(["of", "is"]), (F.col("key") == F.col("of")) & (F.col("kind") == F.col("is"))).select(F.xxhash64("list.*").alias("list"), "key", "line")
+    clusters = connected_components(alike_pairs(met.repartition("list").sortWithinPartitions("list"), percent))
+    bits = context.broadcast(bit_filter(clusters.select(F.col("v").alias("key"))))
+    return rows.select("doc_id", "n", "key"), links(candidate_sets(docs, bits, words), clusters, percent, every)
 
 
 def jaccard_links(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:

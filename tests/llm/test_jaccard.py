@@ -117,3 +117,21 @@ def test_every_link_is_given(spark, monkeypatch, block):
     mine = [tuple(sorted((key[r.a], key[r.b]))) for r in pairs.collect()]
     different = sorted(key.values())
     assert sorted(mine) == [(i, j) for i in different for j in different if i < j and linked(sets[i], sets[j])]
+
+
+@pytest.mark.parametrize("percent", [90, 80, 50])
+def test_partners_share_a_listed_part_and_agree_in_outline(percent):
+    rng = np.random.default_rng(percent)
+    met = 0
+    for n in [*range(2, 40), 60, 130, 500, 2000]:
+        for _ in range(12):
+            s = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            lost, more = sorted(rng.integers(0, max(2, n * (100 - percent) // 90), 2).tolist())
+            t = np.unique(np.concatenate([s[lost:], rng.integers(0, 2**64, more - lost, np.uint64)]))
+            both = len(np.intersect1d(s, t))
+            if 100 * both >= percent * len(np.union1d(s, t)) and (len(s) != both or len(t) != both):
+                met += 1
+                assert len(np.intersect1d(jj.signatures(s, percent)[0], jj.signatures(t, percent)[0]))
+                lines = [dict(zip(*jj.outlines(x, percent), strict=True)) for x in (s, t)]
+                assert any(jj.alike(np.arange(2), [x[k] for x in lines], percent) for k in set(lines[0]) & set(lines[1]))
+    assert met > 100
