@@ -43,6 +43,8 @@ REACH = LENGTH - GRAM  # bytes on either side of an anchor that one string over
 WIDTH = GRAM + 2 * REACH
 #: Bytes of text of one chunk, and of text whose anchors share one bucket.
 CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 2_000_000
+#: A bucket of fingerprints holds so many times the text of a bucket of surroundings: it needs few bytes a text, and a chunk sends a blob to each.
+PRINTS_WIDER = 4
 #: Bytes that are fingerprinted at once, and suffixes of one batch.
 SLAB, BATCH = 1_000_000, 150_000
 LAST = np.iinfo(np.int64).max
@@ -178,11 +180,12 @@ def send_prints(n: int):
         for b in batches:
             for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 ids, _, _, _, doc, _, h = found(payload)
-                order = np.lexsort((ids[doc], h))
+                if not len(h):
+                    continue
+                order = np.argsort(h)
                 h, d = h[order], ids[doc][order]
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                last = np.concatenate([first[1:], [len(h)]]).astype(np.int64) - 1
-                u, many = h[first], d[first] != d[last] if len(h) else np.zeros(0, bool)
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                u, many = h[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
                 at = bucket_of(u, n)
                 edge = np.searchsorted(at, np.arange(n + 1))
                 got = [(k, pack(np.diff(u[a:z], prepend=np.uint64(0)), many[a:z])) for k, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if z > a]
@@ -247,6 +250,18 @@ def keyed(view, left, right) -> np.ndarray:
     return strings(np.concatenate([view, left[:, None] + 1, right[:, None] + 1], 1))
 
 
+#: What goes with the surroundings of an anchor: its document's id and place in the chunk, its position there, bytes on either side.
+ENTRY = np.dtype([("id", np.int64), ("doc", np.int32), ("at", np.int32), ("left", np.uint8), ("right", np.uint8)])
+
+
+def entry(*columns) -> np.ndarray:
+    """Rows of ENTRY as bytes of that width: one array is one blob to pack, whatever the number of its columns."""
+    out = np.empty(len(columns[0]), ENTRY)
+    for name, x in zip(ENTRY.names, columns, strict=True):
+        out[name] = x
+    return out.view(f"V{ENTRY.itemsize}")
+
+
 def send_surroundings(n: int):
     """Chunk with its answers -> (bucket, chunk, kind, blob): entries for the index, and spans decided here."""
 
@@ -271,7 +286,7 @@ def send_surroundings(n: int):
             for k, (s, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                 if e > s:
                     o = order[s:e]
-                    out.append((k, chunk, 1, pack(ids[doc[o]], doc[o].astype(np.int32), at[o] - starts[doc[o]], la[o], ra[o], view[o].ravel())))
+                    out.append((k, chunk, 1, pack(entry(ids[doc[o]], doc[o], at[o] - starts[doc[o]], la[o], ra[o]), view[o].ravel())))
         tidy()
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([x[1] for x in out], pa.int64()), "kind": pa.array([x[2] for x in out], pa.int32()), "blob": pa.array([x[3] for x in out], pa.binary())})
 
@@ -337,8 +352,10 @@ def find_spans(rows: pa.Table) -> pa.Table:
             entries.append((chunk, *unpack(blob)))
     if entries:
         chunk = np.repeat(np.array([e[0] for e in entries]), [len(e[1]) for e in entries])
-        ids, doc, at, la, ra = (np.concatenate([e[k] for e in entries]) for k in range(1, 6))
-        view = np.concatenate([e[6] for e in entries]).reshape(-1, WIDTH)
+        rows = np.concatenate([e[1] for e in entries]).view(ENTRY)
+        ids, doc, at, la, ra = (np.ascontiguousarray(rows[name]).astype(kind) for name, kind in zip(ENTRY.names, (np.int64, np.int32, np.int64, np.uint8, np.uint8), strict=True))
+        view = np.concatenate([e[2] for e in entries]).reshape(-1, WIDTH)
+        entries.clear()
         number, least = classes(keyed(view, la, ra), ids)
         start, end = np.full(len(ids), -1), np.full(len(ids), -1)
         later = ids > least[number]
@@ -356,9 +373,10 @@ def find_spans(rows: pa.Table) -> pa.Table:
             lo, hi = by_class[0, number[early]], by_class[1, number[early]]
             got = hi >= 0
             start[early[got]], end[early[got]] = at[early[got]] - hi[got], at[early[got]] - lo[got] + LENGTH
-        for c in np.unique(chunk[end >= 0]).tolist():
-            k = (chunk == c) & (end >= 0)
-            out.append((c, pack(doc[k].astype(np.int64), start[k], end[k])))
+        k = np.flatnonzero(end >= 0)
+        k = k[np.argsort(chunk[k], kind="stable")]
+        for k in np.split(k, np.flatnonzero(np.diff(chunk[k])) + 1) if len(k) else []:
+            out.append((int(chunk[k[0]]), pack(doc[k].astype(np.int64), start[k], end[k])))
         tidy()
     return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
@@ -395,7 +413,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(8, -(-total // bucket_bytes))
     packed = written_in_buckets(chunks(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), (F.struct(*carry) if carry else F.lit(0)).alias("carried")), chunk_bytes), "dedup-chunks", "chunk", max(8, -(-total // chunk_bytes)))
-    prints = packed.select("chunk", "payload").mapInArrow(send_prints(n), "bucket long, chunk long, blob binary")
+    prints = packed.select("chunk", "payload").mapInArrow(send_prints(max(8, -(-n // PRINTS_WIDER))), "bucket long, chunk long, blob binary")
     answers = prints.groupBy("bucket").applyInArrow(shared_prints, "chunk long, blob binary")
     entries = packed.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_surroundings(n), "bucket long, chunk long, kind int, blob binary")
     spans = entries.groupBy("bucket").applyInArrow(find_spans, "chunk long, blob binary")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sarfgrid.llm import suffix_dedup as sd
@@ -96,3 +97,22 @@ def test_long_text_is_cut_into_slabs(monkeypatch):
 def test_documents_equal_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def test_every_chunk_gets_its_own_spans():
+    rng = np.random.default_rng(8)
+    same = rng.integers(97, 123, sd.WIDTH).astype(np.uint8)
+    full = np.full(1, sd.REACH, np.uint8)
+    blobs = [sd.pack(sd.entry(np.array([k]), np.array([k]), np.array([30 + k]), full, full), same) for k in range(50)]
+    got = sd.find_spans(pa.table({"chunk": pa.array(range(50), pa.int64()), "kind": pa.array([1] * 50, pa.int32()), "blob": pa.array(blobs, pa.binary())}))
+    spans = {c: [x.tolist() for x in sd.unpack(b)] for c, b in zip(got["chunk"].to_pylist(), got["blob"].to_pylist())}
+    assert spans == {k: [[k], [k], [k + sd.WIDTH]] for k in range(1, 50)}
+
+
+def test_prints_go_to_fewer_buckets_than_surroundings(spark, monkeypatch):
+    sent, real = [], sd.send_prints
+    monkeypatch.setattr(sd, "send_prints", lambda n: sent.append(n) or real(n))
+    rows = corpus(11)
+    total = sum(len((t or "").encode()) for _, t in rows)
+    assert run(spark, rows, chunk_bytes=700, bucket_bytes=200) == brute(rows)
+    assert sent[0] <= max(8, -(-total // 200) // 4 + 1)
