@@ -135,3 +135,22 @@ def test_partners_share_a_listed_part_and_agree_in_outline(percent):
                 lines = [dict(zip(*jj.outlines(x, percent), strict=True)) for x in (s, t)]
                 assert any(jj.alike(np.arange(2), [x[k] for x in lines], percent) for k in set(lines[0]) & set(lines[1]))
     assert met > 100
+
+
+def test_a_shared_passage_makes_no_cluster(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(10**9)}"
+    passage = [word() for _ in range(45)]
+    rows = [(k, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])) for k in range(300)]
+    rows += [(k + 1000, t + " end") for k, t in rows[:5]]
+    sizes, real = [], jj.links
+
+    def links(sets, clusters, *a):
+        sizes.extend(x["count"] for x in clusters.groupBy("root").count().collect())
+        return real(sets, clusters, *a)
+
+    monkeypatch.setattr(jj, "links", links)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {i: c for i, _, c in jj.jaccard_components(df, 80, words=5).collect()}
+    assert all(got[k + 1000] == k for k in range(5)) and len(set(got.values())) == 300
+    assert max(sizes) <= 10
