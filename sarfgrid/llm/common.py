@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -59,12 +60,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()
 
 
+#: Spark's own setting: a query's shuffle files go when it ends, not when the driver happens to collect garbage.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries that run meanwhile delete their shuffle files; spark keeps its own setting."""
+    own = spark.conf.get(FREES, None)
+    spark.conf.set(FREES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREES) if own is None else spark.conf.set(FREES, own)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and outlives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, outlives lost executors, and frees the disk of df's shuffles."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _scratch[path] = ""
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -125,5 +142,6 @@ def written_in_buckets(df: DataFrame, label: str, key: str, n: int, reader: Spar
     n = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))  # beyond, a bucket holds several keys' rows
     path = f"{shared_dir(spark)}/{name}"
     _scratch[path] = name
-    df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", path).saveAsTable(name)
+    with shuffles_freed(spark):
+        df.write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", path).saveAsTable(name)
     return (reader or spark).table(name)

@@ -45,7 +45,7 @@ FILTER_BITS = 23
 #: Bytes of outlines that are compared at once.
 OUTLINE_BYTES = 2_000_000
 #: Scratch that nothing reads once the links are written.
-SPENT = ("join-sets", "cc-")
+SPENT = ("join-lists", "join-sets", "cc-")
 #: Shingles of one chunk of a cluster.
 BLOCK_SHINGLES = 2_000_000
 
@@ -319,7 +319,7 @@ def search(docs: DataFrame, percent: int, id_col: str, text_col: str, words: int
     of_h = Window.partitionBy("h")
     p = postings(docs, percent, words).repartition("h").dropDuplicates(["h", "key"]).withColumn("k", F.count("*").over(of_h))
     p = p.withColumn("list", F.bit_xor(F.xxhash64("key", "kind")).over(of_h)).where("k > 1")
-    p = p.select(F.struct("kind", "k", "list").alias("list"), "key", "kind").distinct()  # lists of the same sets count once
+    p = written(p.select(F.struct("kind", "k", "list").alias("list"), "key", "kind").distinct(), "join-lists")  # lists of the same sets count once
     line = rows.where("n > 0").select(F.col("key").alias("of"), F.explode(F.arrays_zip("kinds", "lines")).alias("x")).select("of", F.col("x.kinds").alias("is"), F.col("x.lines").alias("line"))
     met = p.join(line.dropDuplicates(["of", "is"]), (F.col("key") == F.col("of")) & (F.col("kind") == F.col("is"))).select(F.xxhash64("list.*").alias("list"), "key", "line")
     clusters = connected_components(alike_pairs(met.repartition("list").sortWithinPartitions("list"), percent))

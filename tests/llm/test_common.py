@@ -1,4 +1,5 @@
 import os
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -21,6 +22,25 @@ def test_batches_of_long_texts_are_bounded_by_bytes(spark):
     assert sum(rows) == 1200 and max(rows) == common.ARROW_ROWS
 
 
+def shuffle_files(spark):
+    """Names of the shuffle files that this process holds on its disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    mine, own = set(common.scratch()), spark.conf.get(common.FREES, None)
+    for write in (lambda df: common.written(df, "some-rows"), lambda df: common.written_in_buckets(df, "some-table", "id", 4)):
+        before = shuffle_files(spark)
+        rows = write(spark.range(1000).repartition(5, "id"))
+        deadline = time.time() + 10  # files go in the background
+        while shuffle_files(spark) - before and time.time() < deadline:
+            time.sleep(0.1)
+        assert not shuffle_files(spark) - before and rows.count() == 1000
+    assert spark.conf.get(common.FREES, None) == own
+    common.release(spark, [x for x in common.scratch() if x not in mine])
+
+
 def test_scratch_is_released_by_label(spark):
     before = set(common.scratch())
     a = common.written(spark.range(3), "kept-rows")

@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+import test_common
 
 from sarfgrid.llm import jaccard_join as jj
 from sarfgrid.llm.components import connected_components
@@ -154,3 +156,19 @@ def test_a_shared_passage_makes_no_cluster(spark, monkeypatch):
     got = {i: c for i, _, c in jj.jaccard_components(df, 80, words=5).collect()}
     assert all(got[k + 1000] == k for k in range(5)) and len(set(got.values())) == 300
     assert max(sizes) <= 10
+
+
+def test_candidate_shuffles_are_gone_before_the_links_are_searched(spark, monkeypatch):
+    left, real, before = [], jj.links, test_common.shuffle_files(spark)
+
+    def links(*a):
+        deadline = time.time() + 10  # files go in the background
+        while test_common.shuffle_files(spark) - before and time.time() < deadline:
+            time.sleep(0.1)
+        left.append(test_common.shuffle_files(spark) - before)
+        return real(*a)
+
+    monkeypatch.setattr(jj, "links", links)
+    rows = corpus(6)
+    assert run(spark, rows) == brute(rows)
+    assert left == [set()]
